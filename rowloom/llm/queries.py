@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import bpe, decontam, secrets, toxicity
+from rowloom.llm import bpe, chat, decontam, secrets, toxicity
 from rowloom.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), *_bpe_files(), digests=True)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ask = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", ask), (-7, 1, "assistant", ask)], "conv_id long, turn long, role string, text string")
+    messages = own.unionByName(more).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.digests(chat.format_conversations(messages))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +42,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
@@ -56,3 +65,17 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+_CONTROL = ["<|turn|>", "<|body|>", "<|end|>", "<|image|>", "<|audio|>", "<|document|>", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
+_ESCAPED = " + ".join(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in ["\\", *_CONTROL])
+_ESCAPED_ROLE = _ESCAPED.replace("(t", "(r").replace("t, ", "r, ")
+ORACLE_SQL["op4_chat_format"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(t) + length(r) + {_ESCAPED} + {_ESCAPED_ROLE} + 23 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
