@@ -167,3 +167,47 @@ def winnow(g: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     x = np.concatenate([np.full(w - 1, top), np.where(valid, g, top), np.full(w - 1, top)])
     least = _slide(x, w, np.minimum)
     return np.flatnonzero((_slide(least, w, np.maximum) == g) & valid)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    The folder is the session's spark.checkpoint.dir; only where that is unset (local tests) a folder of its own is made.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def same(a: DataFrame, b: DataFrame, *columns: str) -> F.Column:
+    """Equality of the named columns of two frames, nulls equal."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): for each node of a link the smallest node it is connected with.
+
+    Labels spread to neighbours and then jump to the label of their label, until a round changes
+    none. Every round is a few joins and grouped minima; nothing is gathered on the driver.
+    """
+    edges = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y").union(links.select(F.col(b), F.col(a)).filter(f"{a} <> {b}")).distinct())
+    labels = cut(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).withColumnRenamed("x", "node"))
+    while True:
+        near = edges.join(labels, edges["y"] == labels["node"]).groupBy("x").agg(F.min("l").alias("near"))
+        spread = labels.join(near, labels["node"] == near["x"]).select("node", F.least("l", "near").alias("m"), F.col("l").alias("was"))
+        jump = labels.select(F.col("node").alias("via"), F.col("l").alias("to"))
+        step = spread.join(jump, spread["m"] == jump["via"], "left").select("node", F.least("m", F.coalesce("to", "m")).alias("l"), "was")
+        step = cut(step)
+        if not step.filter("l <> was").limit(1).count():
+            return step.select("node", F.col("l").alias("component"))
+        labels = step.select("node", "l")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import bpe, chat, decontam, secrets, toxicity
+from rowloom.llm import bpe, chat, decontam, minhash, secrets, toxicity
 from rowloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
 }
@@ -79,3 +84,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
        sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLE_SQL["op7_minhash_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+      FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * pairs.c >= 75 * (p.c + q.c - pairs.c)),
+reach AS (SELECT a AS doc_id, b AS r FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a),
+comp AS (SELECT doc_id, min(r) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(comp.m, d.doc_id)) AS component_id, d.doc_id <= coalesce(comp.m, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
