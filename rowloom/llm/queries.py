@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import bpe, chat, decontam, minhash, secrets, toxicity
+from rowloom.llm import ann, bpe, chat, decontam, minhash, secrets, toxicity
 from rowloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
+    "op6_hnsw_neighbours": op6_hnsw_neighbours,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
