@@ -1,13 +1,52 @@
-"""Corpus pipeline: toxicity, near-duplicates, benchmark contamination, secrets, BPE ids."""
+"""Corpus pipeline: toxicity, near-duplicates, benchmark contamination, secrets, BPE ids.
+
+Each stage takes the rows that its predecessor kept, as columns of ``documents``, and calls one
+operator: toxic documents go, one document of each group of near-duplicates stays, contaminated
+documents go, secrets are masked, and what is left is encoded. Nulls, repeated rows and other
+columns are treated as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from rowloom.llm import bpe, decontam, minhash, secrets, toxicity
+from rowloom.llm.common import table
+from rowloom.llm.queries import bpe_files
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, *bpe_files()).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("bpe", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

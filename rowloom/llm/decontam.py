@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowloom.llm.common import WordClass, Words, bytes_of, grams, slices, winnow, words
+from rowloom.llm.common import WordClass, Words, bytes_of, cut, grams, slices, winnow, words
 
 #: Fixed value: bytes outside 0-9, a-z (after lower-casing) and non-ASCII end a word.
 WORDS = WordClass.build([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
@@ -118,8 +118,8 @@ def _inside(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x if len(known) else np.zeros(len(x), bool)
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, k: int = 7, w: int = 7, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit (words inside an occurrence of a window), items (ids whose windows occur, sorted as strings)."""
+def contamination(documents: DataFrame, benchmark: DataFrame, k: int = 7, w: int = 7, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT, with_key: bool = False) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_hit (words inside an occurrence of a window), items (ids whose windows occur, sorted as strings). with_key adds the hash of the text."""
     span = k + w - 1
     docs = _rows(documents, id_col, text_col)
     windows = benchmark_windows(benchmark, span, item_id_col, item_text_col)
@@ -150,7 +150,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, k: int = 7, w: int
         rows = rows.filter("start < 0 or items is not null")
     else:
         rows = _shuffled(docs, windows, probes, k, w, span, lengths)
-    return _summary(rows)
+    return _summary(rows, with_key)
 
 
 def _shuffled(docs: DataFrame, windows: DataFrame, probes: DataFrame, k: int, w: int, span: int, lengths: list[int]) -> DataFrame:
@@ -186,7 +186,22 @@ def _shuffled(docs: DataFrame, windows: DataFrame, probes: DataFrame, k: int, w:
     return found.join(windows, ["window", "n"]).select("id", "key", "start", "n", "window", "items").unionByName(base)
 
 
-def _summary(rows: DataFrame) -> DataFrame:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, limit: int = 1_000_000, **options) -> DataFrame:
+    """The rows, with all their columns, that are not contaminated. The rows to drop are broadcast only if a count shows that they are at most ``limit``."""
+    found = contamination(documents, benchmark, with_key=True, **options)
+    bad = cut(found.filter(is_contaminated()).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct())
+    few = bad.limit(limit + 1).count() <= limit
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    at = documents[id_col].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(documents[text_col], F.lit(""))) == bad["bad_key"])
+    return documents.join(F.broadcast(bad) if few else bad, at, "left_anti")
+
+
+def is_contaminated() -> F.Column:
+    """A twentieth of the words is hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def _summary(rows: DataFrame, with_key: bool = False) -> DataFrame:
     """Lengths of the union of the windows in each text, in one shuffle by text."""
     by = Window.partitionBy("id", "key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
@@ -197,9 +212,9 @@ def _summary(rows: DataFrame) -> DataFrame:
         F.max(F.when(~is_hit, F.col("n"))).alias("n_words"), F.count(F.when(~is_hit, F.lit(1))).alias("copies"), F.sum("fresh").alias("n_hit"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items"),
     )
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "items", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    return out.select(F.col("id").alias("doc_id"), *["key"] * with_key, "n_words", "n_hit", "items", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def judged(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a twentieth of the words is hit."""
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))

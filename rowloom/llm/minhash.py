@@ -278,7 +278,6 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The rows, with all their columns, of one document of each component; of rows that repeat its id the first by text."""
+    """The rows, with all their columns, of one document of each component; rows that repeat a kept id stay with it."""
     kept = near_duplicates(documents, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -10,14 +10,14 @@ from rowloom.llm import ann, bpe, chat, decontam, html, minhash, secrets, toxici
 from rowloom.llm.common import table
 
 
-def _bpe_files() -> tuple[str, str]:
+def bpe_files() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), *_bpe_files(), digests=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), *bpe_files(), digests=True)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
