@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import ann, bpe, chat, decontam, html, minhash, secrets, toxicity
+from rowloom.llm import ann, bpe, chat, decontam, exact_substrings, html, minhash, secrets, toxicity
 from rowloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), *bpe_files(), digests=True)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.dedup(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ask = "</s>[INST] ok [/INST]"
@@ -54,6 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_hnsw_neighbours": op6_hnsw_neighbours,
