@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import ann, bpe, chat, decontam, exact_substrings, html, minhash, secrets, toxicity
+from rowloom.llm import ann, bpe, chat, decontam, exact_substrings, fuzzy_passages, html, minhash, secrets, toxicity
 from rowloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def bpe_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), *bpe_files(), digests=True)
 
@@ -57,6 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chained_passages": op1_chained_passages,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat_format": op4_chat_format,
