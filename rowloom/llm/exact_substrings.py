@@ -31,35 +31,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowloom.llm.common import BYTE_HASH, STEP, _slide, bytes_of, shuffle_partitions, slices, texts_of
+from rowloom.llm.common import BYTE_HASH, STEP, _slide, bytes_of, cut, release, shuffle_partitions, slices, texts_of
 from rowloom.llm.suffix import common_prefixes, sort_suffixes
 
 SPAN, GRAM = 50, 16
 #: Windows in a piece at most; bytes of text whose names are merged; bytes of pieces sorted at once.
 PIECE, BATCH_BYTES, BLOCK_BYTES = 64, 8 << 20, 2 << 20
+#: Copies that are broadcast, at most (about 50 bytes each).
+BROADCAST_LIMIT = 500_000
 _AT = 40  # positions take 40 bits; above them 22 bits of the text's hash tell texts of one id apart
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tag (bits of the text's hash, at their place in a position), text; dealt by id, in one shuffle that all readers share."""
-    rows = texts_of(docs, id_col, text_col)
+    """doc_id, tag (bits of the text's hash, at their place in a position), text."""
     tag = F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 22) - 1).cast("long")), _AT)
-    return rows.select("doc_id", tag.alias("tag"), "text").repartition(shuffle_partitions(docs), "doc_id")
+    return texts_of(docs, id_col, text_col).select("doc_id", tag.alias("tag"), "text")
 
 
-def copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(copy_id, sources: array of tag and rep): the texts of an id that also stand under a smaller id, the smallest of which is rep."""
-    rows = texts_of(docs, id_col, text_col).filter("doc_id is not null")
-    tag = F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 22) - 1).cast("long")), _AT)
-    sums = rows.select("doc_id", tag.alias("tag"), F.sha2("text", 256).alias("sum"))
+def dealt_texts(texts: DataFrame) -> DataFrame:
+    """The rows with an id, dealt by it. All readers in one plan share this shuffle, so they must not filter on the id."""
+    return texts.filter("doc_id is not null").repartition(shuffle_partitions(texts), "doc_id")
+
+
+def copies(texts: DataFrame) -> DataFrame:
+    """(copy_id, sources: array of tag and rep): the texts of an id that also stand under a smaller id, the smallest of which is rep.
+
+    Computed once. The result is marked to be broadcast only if a count shows that it is small.
+    """
+    sums = texts.filter("doc_id is not null").select("doc_id", "tag", F.sha2("text", 256).alias("sum"))
     first = sums.groupBy("sum").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).filter("rep < most").select("sum", "rep")
-    return sums.join(first, "sum").filter("doc_id > rep").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set(F.struct("tag", "rep")).alias("sources"))
+    found = cut(sums.join(first, "sum").filter("doc_id > rep").groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set(F.struct("tag", "rep")).alias("sources")))
+    few = found.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT
+    return found.hint("broadcast" if few else "shuffle_hash")
 
 
 def with_source(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     """Adds rep: the smallest id of the same text if that is smaller than the row's id, else null."""
     rep = F.get(F.filter("sources", lambda s: s["tag"] == F.col("tag")), F.lit(0))["rep"]
-    return texts.join(repeated.hint("shuffle_hash"), texts["doc_id"] == repeated["copy_id"], "left").select("doc_id", "tag", "text", rep.alias("rep"))
+    return texts.join(repeated, texts["doc_id"] == repeated["copy_id"], "left").select("doc_id", "tag", "text", rep.alias("rep"))
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -319,14 +328,17 @@ def compare_left_over(marks: DataFrame) -> DataFrame:
 def removed_spans(documents: DataFrame, span: int = SPAN, k: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, text (binary), rep (the earlier document of the same text, or null), marks (array of pos, n: windows to remove; see ``_union``)."""
     texts = keyed_texts(documents, id_col, text_col)
-    repeated = copies(documents, id_col, text_col)
-    own = with_source(texts, repeated).filter("rep is null and doc_id is not null")
-    lists = shared_names(names(own, span, k)).groupBy(F.col("doc").alias("named")).agg(F.collect_list("name").alias("names"))
-    shared = texts.join(lists.hint("shuffle_hash"), texts["doc_id"] == lists["named"]).select("doc_id", "tag", "text", "names")
+    repeated = copies(texts)
+    own = with_source(texts.filter("doc_id is not null"), repeated).filter("rep is null")
+    lists = cut(shared_names(names(own, span, k)).groupBy(F.col("doc").alias("named")).agg(F.collect_list("name").alias("names")))
+    release(documents.sparkSession)
+    dealt = dealt_texts(texts)
+    shared = dealt.join(lists.hint("shuffle_hash"), dealt["doc_id"] == lists["named"]).select("doc_id", "tag", "text", "names")
     marks = compare_left_over(sorted_pieces(pieces(shared, span, k), span))
     spans = marks.groupBy(F.col("doc").alias("marked")).agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
-    out = with_source(texts, repeated)
-    return out.join(spans.hint("shuffle_hash"), out["doc_id"] == spans["marked"], "left").select("doc_id", "tag", "text", "rep", "marks")
+    marked = with_source(dealt, repeated).join(spans.hint("shuffle_hash"), F.col("doc_id") == spans["marked"], "left").select("doc_id", "tag", "text", "rep", "marks")
+    rest = texts.filter("doc_id is null").select("doc_id", "tag", "text", F.lit(None).cast("long").alias("rep"), F.lit(None).cast(marked.schema["marks"].dataType).alias("marks"))
+    return marked.union(rest)
 
 
 def _union(tag: int, size: int, marks: list[dict] | None, span: int, whole: bool) -> list[tuple[int, int]]:
