@@ -25,7 +25,7 @@ other columns are not read. Strings are judged on the input and never cross docu
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +112,12 @@ def _merge(fp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[new], doc[new]
 
 
-def names(texts: DataFrame, span: int, k: int) -> DataFrame:
+def names(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(name, doc, kind): 0 asks whether other documents have the name, 1 knows that they do, 2 only says that the document has it.
 
-    Within a batch of texts a name of several documents is sent twice only, for the smallest and
-    the largest of them; all of them know already.
+    find gives the texts and the names found in some texts. Within a batch of texts a name of
+    several documents is sent twice only, for the smallest and the largest of them; all of them
+    know already.
     """
 
     def pack(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -132,7 +133,7 @@ def names(texts: DataFrame, span: int, k: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, limit=1 << 17):
                 data, offsets = bytes_of(part.column(1))
-                text, _, _, fp = runs(data, offsets, span, k)
+                text, fp = find(data, offsets)
                 held.append((fp, part.column(0).to_numpy()[text]))
                 size += len(data)
                 if size >= BATCH_BYTES:
@@ -174,6 +175,20 @@ def shared_names(found: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("name", "doc").mapInArrow(run, "doc long, name long")
 
 
+def shared_lists(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(named, names): for each document its names that other documents have, too. Computed once; the lineage is cut."""
+    out = cut(shared_names(names(texts, find)).groupBy(F.col("doc").alias("named")).agg(F.collect_list("name").alias("names")))
+    release(texts.sparkSession)
+    return out.hint("shuffle_hash")
+
+
+def listed(fp: np.ndarray, text: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which of the names are in their own text's list. (Two texts' names may be confused with a chance of 2**-64.)"""
+    salt = lambda t: t.astype(np.uint64) * STEP
+    known = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.isin(fp ^ salt(text), known ^ salt(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))))
+
+
 PIECES = "name long, doc long, pos long, n int, text binary"
 
 
@@ -193,11 +208,7 @@ def pieces(texts: DataFrame, span: int, k: int) -> DataFrame:
             for part in slices(batch, "text", 1 << 17):
                 data, offsets = bytes_of(part.column(2))
                 text, start, n, fp = runs(data, offsets, span, k)
-                wanted = part.column(3)
-                lengths = np.diff(wanted.offsets.to_numpy())
-                salt = lambda t: t.astype(np.uint64) * STEP
-                known = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ salt(np.repeat(np.arange(part.num_rows), lengths))
-                pick = np.flatnonzero(np.isin(fp ^ salt(text), known))
+                pick = np.flatnonzero(listed(fp, text, part.column(3)))
                 raw, ids, tags = data.tobytes(), part.column(0).to_numpy(), part.column(1).to_numpy()
                 for i in pick.tolist():
                     a, m, t = int(start[i]), int(n[i]), int(text[i])
@@ -330,10 +341,14 @@ def removed_spans(documents: DataFrame, span: int = SPAN, k: int = GRAM, id_col:
     texts = keyed_texts(documents, id_col, text_col)
     repeated = copies(texts)
     own = with_source(texts.filter("doc_id is not null"), repeated).filter("rep is null")
-    lists = cut(shared_names(names(own, span, k)).groupBy(F.col("doc").alias("named")).agg(F.collect_list("name").alias("names")))
-    release(documents.sparkSession)
+
+    def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text, _, _, fp = runs(data, offsets, span, k)
+        return text, fp
+
+    lists = shared_lists(own, find)
     dealt = dealt_texts(texts)
-    shared = dealt.join(lists.hint("shuffle_hash"), dealt["doc_id"] == lists["named"]).select("doc_id", "tag", "text", "names")
+    shared = dealt.join(lists, dealt["doc_id"] == lists["named"]).select("doc_id", "tag", "text", "names")
     marks = compare_left_over(sorted_pieces(pieces(shared, span, k), span))
     spans = marks.groupBy(F.col("doc").alias("marked")).agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
     marked = with_source(dealt, repeated).join(spans.hint("shuffle_hash"), F.col("doc_id") == spans["marked"], "left").select("doc_id", "tag", "text", "rep", "marks")
