@@ -9,12 +9,14 @@ coordinates but for a chance of about one in a million; pairs below that are not
   document needs to be posted only under the first ``coordinates - needed + 1``: two documents
   that share ``needed`` pairs share one of these. Pairs that nobody else has are not posted.
 * Skip merging: the common lists that are left are never walked; once a short list has brought
-  two documents together, their collisions in all lists are counted on their signatures.
+  two documents together, their collisions are counted on their signatures, over ``FINE`` more
+  coordinates of two bits each, whose threshold (``matches_needed``) leaves out the same share.
 
 Retained pairs are confirmed on the full sets. Pairs are compared in two steps, so that a large
-group of copies doesn't yield all its pairs. First every document names its closest partners in
-blocks of its lists; confirmed links give components. Then all pairs that share a posting, reach
-``needed`` collisions and lie in different components are confirmed. Links inside a component
+group of copies doesn't yield all its pairs. First, for a few rounds, every document names its
+closest partner in another component in blocks of its lists; confirmed links join components.
+Then all pairs that share a posting, have enough collisions and lie in different components are
+confirmed. Links inside a component
 change nothing, so the components are those of all links. A list longer than a block is split
 by a hash; then only the documents outside the list's largest component visit all of its blocks.
 
@@ -34,18 +36,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowloom.llm.common import WordClass, bytes_of, components, cut, grams, mix, same, shuffle_partitions, slices, texts_of, words
+from rowloom.llm.common import WordClass, bytes_of, components, cut, grams, mix, release, same, shuffle_partitions, slices, texts_of, words
 
 #: Fixed value: bytes that end a word.
 WORDS = WordClass.build([(0x20, 0x20), (0x09, 0x0D)])
 COORDINATES = 96
 #: Documents of one list that are compared in one block, in the first and the second step.
 BLOCKS = (256, 1024)
+#: Coordinates of two bits that collisions are counted on; rounds of the first step.
+FINE, ROUNDS = 1024, 2
 #: Ids of documents to read again that are broadcast, at most (8 bytes each).
 BROADCAST_LIMIT = 1_000_000
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_FINE_MUL = _RNG.integers(1, 2**63, FINE, dtype=np.uint64) | np.uint64(1)
+_FINE_ADD = _RNG.integers(0, 2**63, FINE, dtype=np.uint64)
+_EVEN_BITS = np.uint64(0x5555555555555555)
 
 
 def shingle_sets(part: pa.RecordBatch, size: int, column: int = 1) -> list[np.ndarray]:
@@ -62,13 +69,29 @@ def shingle_sets(part: pa.RecordBatch, size: int, column: int = 1) -> list[np.nd
     return out
 
 
-def signature(shingles: np.ndarray, piece: int = 512) -> np.ndarray:
-    out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+def _least(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray, piece: int) -> np.ndarray:
+    out = np.full(len(mul), 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(shingles), piece):
-        np.minimum(out, ((shingles[lo : lo + piece, None] * _MUL + _ADD) >> np.uint64(32)).astype(np.uint32).min(0), out=out)
+        np.minimum(out, ((shingles[lo : lo + piece, None] * mul + add) >> np.uint64(32)).astype(np.uint32).min(0), out=out)
     return out
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    return _least(shingles, _MUL, _ADD, 512)
+
+
+def fine_signature(shingles: np.ndarray) -> np.ndarray:
+    """Two bits of each of FINE further coordinates, four to a byte."""
+    low = (_least(shingles, _FINE_MUL, _FINE_ADD, 64) & np.uint32(3)).astype(np.uint8).reshape(-1, 4)
+    return low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6
+
+
+def matches_needed(s: float) -> int:
+    """Coordinates of two bits that agree at similarity s, less what chance takes off once in a million."""
+    p = s + (1 - s) / 4
+    return floor(FINE * p - 4.75 * sqrt(FINE * p * (1 - p)))
+
+
 def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (128 bits that name the set), sig (the signature's coordinates)."""
 
@@ -130,31 +153,36 @@ def _groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[l
 
 
 def _packed(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, FINE // 32)
 
 
-def _collisions(sig: np.ndarray, i: np.ndarray, j: np.ndarray, piece: int = 40_000) -> np.ndarray:
-    return np.concatenate([(sig[i[lo : lo + piece]] == sig[j[lo : lo + piece]]).sum(1) for lo in range(0, len(i), piece)]) if len(i) else np.empty(0, np.int64)
+def _collisions(sig: np.ndarray, i: np.ndarray, j: np.ndarray, piece: int = 20_000) -> np.ndarray:
+    out = [np.empty(0, np.int64)]
+    for lo in range(0, len(i), piece):
+        x = sig[i[lo : lo + piece]] ^ sig[j[lo : lo + piece]]
+        out.append(FINE - np.bitwise_count((x | x >> np.uint64(1)) & _EVEN_BITS).sum(1, dtype=np.int64))
+    return np.concatenate(out)
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def closest_pairs(lists: DataFrame, needed: int, per_document: int = 2) -> DataFrame:
-    """(a, b): in each block of a list every document with its closest partners and with the block's first one, if they collide often enough."""
+def closest_pairs(lists: DataFrame, needed: int, per_document: int) -> DataFrame:
+    """(a, b): in each block of a list every document with its closest partners in other components, and the first of the block, if they collide often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            key, block, rep, sig = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), _packed(table.column(3))
+            key, block, rep, sig, comp = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), _packed(table.column(3)), table.column(4).to_numpy()
             n = len(key)
             group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
             first = np.searchsorted(group, group)
             best = np.full((n, per_document), -1, np.int64)  # collisions * n + partner
             for d in range(1, int(np.bincount(group).max())):
-                i = np.flatnonzero(group[:-d] == group[d:])
-                if not len(i):
+                inside = group[:-d] == group[d:]
+                if not inside.any():
                     break
+                i = np.flatnonzero(inside & (comp[:-d] != comp[d:]))
                 c = _collisions(sig, i, i + d)
                 ok = c >= needed
                 i, c = i[ok], c[ok]
@@ -166,11 +194,9 @@ def closest_pairs(lists: DataFrame, needed: int, per_document: int = 2) -> DataF
                         value = np.minimum(old, value)
             x, slot = np.nonzero(best >= 0)
             y = best[x, slot] % n
-            h = np.flatnonzero(first != np.arange(n))
+            h = np.flatnonzero(comp[first] != comp)
             h = h[_collisions(sig, h, first[h]) >= needed]
-            a, b = np.r_[rep[x], rep[h]], np.r_[rep[y], rep[first[h]]]
-            ok = a != b
-            yield _pair_batch(a[ok], b[ok])
+            yield _pair_batch(np.r_[rep[x], rep[h]], np.r_[rep[y], rep[first[h]]])
 
     return lists.mapInArrow(run, "a long, b long").distinct()
 
@@ -227,15 +253,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles) of the wanted documents; their ids are broadcast only if they are few."""
+    """(doc_id, shingles, sig) of the wanted documents; their ids are broadcast only if they are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part, size)], pa.binary())], names=["doc_id", "shingles"])
+                sets = shingle_sets(part, size)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([fine_signature(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles", "sig"])
 
     few = wanted.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT
-    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary, sig binary")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -246,28 +273,37 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     named = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
     lists = cut(prefixes(post(classes), needed))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # eight bits of each coordinate: equal values stay equal
-        for batch in batches:
-            sig = [(np.frombuffer(x, np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], names=["rep", "sig"])
-
+    release(documents.sparkSession)
     wanted = cut(lists.select("rep").distinct())
-    packed = cut(classes.join(wanted, "rep", "left_semi").select("rep", "sig").mapInArrow(pack, "rep long, sig binary"))
     sets = cut(_sets(texts_of(documents, id_col, text_col), wanted.withColumnRenamed("rep", "doc_id"), size))
-
-    commonest = _blocks(lists.filter("left < 6"), BLOCKS[0]).join(packed, "rep")
-    first = cut(confirm(closest_pairs(_dealt(commonest, "rep", "sig"), needed), sets, numerator, denominator))
-    found = components(first)
-    known = lists.join(found, lists["rep"] == found["node"], "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+    packed = sets.select(F.col("doc_id").alias("rep"), "sig")
+    enough = matches_needed(s)
+
+    def with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return rows.withColumn("component", F.col("rep"))
+        return rows.join(found, rows["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+
+    commonest = cut(_blocks(lists.filter("left < 6"), BLOCKS[0]))
+    links = found = None
+    for turn in range(ROUNDS):
+        near = closest_pairs(_dealt(with_components(commonest.join(packed, "rep"), found), "rep", "sig", "component"), enough, 1 if turn else 2)
+        fresh = cut(confirm(near, sets, numerator, denominator))
+        if links is not None and not fresh.limit(1).count():
+            break
+        links = fresh if links is None else links.union(fresh)
+        found = components(links)
+        release(documents.sparkSession)
+    known = with_components(lists.select("rep", "key"), found)
     known = cut(_blocks(known, BLOCKS[1]))
     size_of = known.groupBy("key", "blocks", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = size_of.groupBy("key", "blocks").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     open_lists = known.join(largest.drop("blocks"), "key")
     guests = open_lists.filter("blocks > 1 and component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     visits = open_lists.unionByName(guests).dropDuplicates(["key", "block", "rep"])
-    second = crossing_pairs(_dealt(visits.join(packed, "rep"), "rep", "sig", "component"), needed)
-    links = first.union(confirm(second, sets, numerator, denominator))
+    second = crossing_pairs(_dealt(visits.join(packed, "rep"), "rep", "sig", "component"), enough)
+    links = links.union(cut(confirm(second, sets, numerator, denominator)))
+    release(documents.sparkSession)
     joined = components(links)
 
     class_of = classes.select("f1", "f2", "n_shingles", "rep")
