@@ -36,6 +36,14 @@ def getcol(v: View, column: str | int) -> list[Any]:
     return [r[0] for r in onecol(v, column).rows()]
 
 
+@operator
+def colconv(v: View) -> View:
+    """A view of one column as it is; any other view raises."""
+    if v.width != 1:
+        raise ValueError("not a column")
+    return v
+
+
 @operator
 def viewascol(v: View) -> list[list[Any]]:
     """All columns as lists, from one pass."""

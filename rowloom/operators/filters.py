@@ -75,16 +75,19 @@ def pick(v: View, mask: Sequence[int] | View) -> View:
 
 
 @operator
-def loop(v: View, body: Callable[[dict[str, Any]], Any], where: Expression | None = None) -> list[Any]:
+def loop(v: View, body: Callable[[dict[str, Any]], Any], where: Expression | None = None, first: int = 0, limit: int | None = None, step: int = 1) -> list[Any]:
     """Runs a Python function on each row, in order, on the driver: a dict by name, with the row number as ``#``.
 
-    Rows stream through the driver, one partition at a time. StopIteration ends the loop. For work
+    Only rows from ``first`` on and before ``limit`` are taken, every ``step``-th of them. Rows stream through the driver, one partition at a time. StopIteration ends the loop. For work
     on all rows of a large view use ``compute`` or ``where``.
     """
     w = v.numbered()
     df = _named(w)
     if where is not None:
         df = df.filter(where)
+    df = df.filter((w.rid() >= first) & (F.pmod(w.rid() - first, F.lit(step)) == 0))
+    if limit is not None:
+        df = df.filter(w.rid() < limit)
     names = [n for i, n in enumerate(w.names) if w.names.index(n) == i]
     out = []
     for row in df.orderBy("_o0").select("#", *names).toLocalIterator():

@@ -231,7 +231,7 @@ def test_expressions(spark):
     assert [r[0] for r in v.index("B <> 2").rows()] == [0, 2] and v.collect("B * 10 + `#`") == [10, 21, 32]
     assert v.pick([1, 0]).rows() == [("a", 1), ("c", 3)]
     seen = v.loop(lambda r: (r["#"], r["A"]), where="B < 3")
-    assert seen == [(0, "a"), (1, "b")]
+    assert seen == [(0, "a"), (1, "b")] and v.loop(lambda r: r["A"], first=0, limit=3, step=2) == ["a", "c"]
 
 
 def test_filters_reach_the_files(spark, tmp_path):
@@ -250,6 +250,15 @@ def test_save_and_load(spark, tmp_path):
     assert tables.same_rows(tables.open_views(spark, str(tmp_path), ["v"])["v"], v)
 
 
+def test_emit_and_receive(spark):
+    v = tables.define(spark, ["A", "A", ("C", ["D:L"])], ["x", "y", [(1,), (2,)], "z", "w", []]).reverse()
+    assert tables.same_rows(tables.receive(spark, v.emit()), v)
+    assert tables.receive(spark, tables.countview(spark, 7).emit()).size() == 7
+    assert letters(spark).colconv().getcol(0)[0] == "a"
+    with pytest.raises(ValueError):
+        v.colconv()
+
+
 def test_changes(spark):
     v = tables.define(spark, "A,B:I", ["a", 0, "b", 1, "c", 2, "d", 3])
     assert v.set(-1, "A", "z", "B", 9).rows()[-1] == ("z", 9) and v.rows()[-1] == ("d", 3)
