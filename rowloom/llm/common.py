@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -187,10 +188,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of lineage that has been cut: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 4) -> None:
+    """Lets Spark delete the shuffle files of lineage that has been cut.
+
+    It does so once the driver's garbage is collected, which takes a few rounds: Python's handles
+    go first, then the plans they held, then what these held.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def same(a: DataFrame, b: DataFrame, *columns: str) -> F.Column:

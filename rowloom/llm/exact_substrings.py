@@ -49,7 +49,7 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dealt_texts(texts: DataFrame) -> DataFrame:
-    """The rows with an id, dealt by it. All readers in one plan share this shuffle, so they must not filter on the id."""
+    """The rows with an id, dealt by it: joins by id then move only their other side."""
     return texts.filter("doc_id is not null").repartition(shuffle_partitions(texts), "doc_id")
 
 
@@ -350,8 +350,10 @@ def removed_spans(documents: DataFrame, span: int = SPAN, k: int = GRAM, id_col:
     dealt = dealt_texts(texts)
     shared = dealt.join(lists, dealt["doc_id"] == lists["named"]).select("doc_id", "tag", "text", "names")
     marks = compare_left_over(sorted_pieces(pieces(shared, span, k), span))
-    spans = marks.groupBy(F.col("doc").alias("marked")).agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
-    marked = with_source(dealt, repeated).join(spans.hint("shuffle_hash"), F.col("doc_id") == spans["marked"], "left").select("doc_id", "tag", "text", "rep", "marks")
+    spans = cut(marks.groupBy(F.col("doc").alias("marked")).agg(F.collect_list(F.struct("pos", "n")).alias("marks")))
+    del shared, marks
+    release(documents.sparkSession)
+    marked = with_source(dealt_texts(texts), repeated).join(spans.hint("shuffle_hash"), F.col("doc_id") == spans["marked"], "left").select("doc_id", "tag", "text", "rep", "marks")
     rest = texts.filter("doc_id is null").select("doc_id", "tag", "text", F.lit(None).cast("long").alias("rep"), F.lit(None).cast(marked.schema["marks"].dataType).alias("marks"))
     return marked.union(rest)
 
