@@ -211,17 +211,39 @@ def same(a: DataFrame, b: DataFrame, *columns: str) -> F.Column:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node of a link the smallest node it is connected with.
 
-    Labels spread to neighbours and then jump to the label of their label, until a round changes
-    none. Every round is a few joins and grouped minima; nothing is gathered on the driver.
+    Every round points each node to its smallest neighbour, follows these pointers to their ends,
+    and contracts the links to those between different ends; at most half of the nodes are ends,
+    so few rounds are left and each is smaller. Nothing is gathered on the driver.
     """
     edges = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y").union(links.select(F.col(b), F.col(a)).filter(f"{a} <> {b}")).distinct())
-    labels = cut(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).withColumnRenamed("x", "node"))
+    out = None
     while True:
-        near = edges.join(labels, edges["y"] == labels["node"]).groupBy("x").agg(F.min("l").alias("near"))
-        spread = labels.join(near, labels["node"] == near["x"]).select("node", F.least("l", "near").alias("m"), F.col("l").alias("was"))
-        jump = labels.select(F.col("node").alias("via"), F.col("l").alias("to"))
-        step = spread.join(jump, spread["m"] == jump["via"], "left").select("node", F.least("m", F.coalesce("to", "m")).alias("l"), "was")
-        step = cut(step)
-        if not step.filter("l <> was").limit(1).count():
-            return step.select("node", F.col("l").alias("component"))
-        labels = step.select("node", "l")
+        ends = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l"))
+        while True:
+            ends = cut(ends)
+            up = ends.select(F.col("x").alias("via"), F.col("l").alias("to"))
+            step = cut(ends.join(up, ends["l"] == up["via"]).select("x", F.col("to").alias("l"), (F.col("to") != F.col("l")).alias("moved")))
+            ends = step.select("x", "l")
+            if not step.filter("moved").limit(1).count():
+                break
+        if out is None:
+            out = ends.select(F.col("x").alias("node"), F.col("l").alias("component"))
+        else:
+            out = cut(out.join(ends, out["component"] == ends["x"], "left").select("node", F.coalesce("l", "component").alias("component")))
+        to = ends.select(F.col("x").alias("was"), F.col("l").alias("now"))
+        half = edges.join(to, edges["x"] == to["was"]).select(F.col("now").alias("x"), "y")
+        edges = cut(half.join(ends.withColumnRenamed("x", "last"), F.col("y") == F.col("last")).select("x", F.col("l").alias("y")).filter("x <> y").distinct())
+        if not edges.limit(1).count():
+            return out
+
+
+def grown(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after more links (a, b): only links between components are gone through."""
+    if found is None:
+        return components(links)
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    base = cut(found.union(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    of = lambda c: base.select(F.col("node").alias(f"of_{c}"), F.col("component").alias(f"to_{c}"))
+    between = links.join(of("a"), F.col("a") == F.col("of_a")).join(of("b"), F.col("b") == F.col("of_b")).select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+    merged = components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    return cut(base.join(merged, base["component"] == merged["part"], "left").select("node", F.coalesce("whole", "component").alias("component")))

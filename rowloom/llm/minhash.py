@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowloom.llm.common import WordClass, bytes_of, components, cut, grams, mix, release, same, shuffle_partitions, slices, texts_of, words
+from rowloom.llm.common import WordClass, bytes_of, cut, grams, grown, mix, release, same, shuffle_partitions, slices, texts_of, words
 
 #: Fixed value: bytes that end a word.
 WORDS = WordClass.build([(0x20, 0x20), (0x09, 0x0D)])
@@ -285,14 +285,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         return rows.join(found, rows["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
 
     commonest = cut(_blocks(lists.filter("left < 6"), BLOCKS[0]))
-    links = found = None
+    found = None
     for turn in range(ROUNDS):
         near = closest_pairs(_dealt(with_components(commonest.join(packed, "rep"), found), "rep", "sig", "component"), enough, 1 if turn else 2)
         fresh = cut(confirm(near, sets, numerator, denominator))
-        if links is not None and not fresh.limit(1).count():
+        if turn and not fresh.limit(1).count():
             break
-        links = fresh if links is None else links.union(fresh)
-        found = components(links)
+        found = grown(found, fresh)
         release(documents.sparkSession)
     known = with_components(lists.select("rep", "key"), found)
     known = cut(_blocks(known, BLOCKS[1]))
@@ -302,9 +301,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     guests = open_lists.filter("blocks > 1 and component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     visits = open_lists.unionByName(guests).dropDuplicates(["key", "block", "rep"])
     second = crossing_pairs(_dealt(visits.join(packed, "rep"), "rep", "sig", "component"), enough)
-    links = links.union(cut(confirm(second, sets, numerator, denominator)))
+    last = cut(confirm(second, sets, numerator, denominator))
     release(documents.sparkSession)
-    joined = components(links)
+    joined = grown(found, last)
 
     class_of = classes.select("f1", "f2", "n_shingles", "rep")
     class_of = class_of.join(joined, class_of["rep"] == joined["node"], "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
