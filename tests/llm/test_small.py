@@ -70,7 +70,7 @@ def test_words_and_winnowing():
 
 def test_chains_follow_order_and_break_at_gaps():
     seeds = np.array([(0, 100), (20, 120), (40, 145), (2000, 10), (60, 165)])
-    found = fuzzy_passages.chain(seeds[:, 0], seeds[:, 1], np.full(5, 15), np.arange(5) * 3)
+    found = fuzzy_passages.chain(seeds[:, 0], seeds[:, 1], np.full(5, 15), np.arange(5) * 3 << 6 | 5)
     assert sorted(c[:4] for c in found) == [(0, 75, 100, 180), (2000, 2015, 10, 25)]
     brute = lambda x, y: max((sum(1 for _ in s) for s in [_lcs(x, y)]), default=0)
     rng = random.Random(5)
