@@ -2,14 +2,15 @@
 
 Pages of one host share a template. Each page becomes a DOM tree; the tree is reduced to a
 skeleton (siblings of one kind become one node) and aligned with the host's template by simple
-tree matching: the largest set of matching nodes that keeps order and ancestry. A node whose
-own text is the same on all pages is template; a node whose text varies is a slot. A template
+tree matching: the largest set of matching nodes that keeps order and ancestry. An element whose
+text is said on all pages is template, inside articles too, if ``ENOUGH_PAGES`` of the pages
+differ in their longest text (copies are no evidence); other text varies. A template
 is small, and templates can be merged in any grouping, so every task folds all of its pages
 into one template for each host, and these are merged by host in two steps.
 
-The wrapper of a host names the content slot (an article or main element, else the slot with
-most varying text that is not links) and the constant nodes outside articles. From each page's slot the blocks
-are read in order, without what marks itself as something else: menus, headers, footers,
+The wrapper of a host names the content slot (the one with most varying text that is not links;
+an article or main element counts as ``HINT`` times its text) and the constant elements. From each
+page's slot the blocks are read in order, without constant ones and what marks itself as something else: menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 Defined results: null or empty html, and pages without such a slot, give an empty text; a page
@@ -20,9 +21,9 @@ any length is read whole.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -37,6 +38,8 @@ DEEPEST = 100
 BROADCAST_HOSTS = 20_000
 #: Pages from which on a text that they all share counts as template.
 ENOUGH_PAGES = 10
+#: Elements that can be the content slot; of these, the named ones count as so many times their text.
+SLOTS, NAMED, HINT = frozenset("# html body main article section div center table tbody tr td".split()), frozenset(["article", "main"]), 3
 
 # Fixed values of HTML: elements without content, elements that end an open paragraph, and what an opening element ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,7 +53,7 @@ MARKS = re.compile(r"^(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|s
 
 
 class Node:
-    __slots__ = ("tag", "sig", "apart", "children")
+    __slots__ = ("tag", "sig", "apart", "children", "sum", "chars")
 
     def __init__(self, tag: str, attrs: list[tuple[str, str | None]]):
         found = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
@@ -108,30 +111,59 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def skeleton(node: Node, linked: bool = False) -> dict:
-    """One page as a template of its own: s kind, n pages, t own text (None: varies), c characters, l those in links, k children."""
-    return _skeleton([node], linked)
+def sums(root: Node) -> None:
+    """Gives each element the hash of the text that it shows and the number of its characters; '' and 0 without text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in node.children if not isinstance(x, str)]
+    for node in reversed(order):
+        parts, node.chars = [], 0
+        for x in node.children:
+            if isinstance(x, str):
+                if own := " ".join(x.split()):
+                    parts.append(own)
+                    node.chars += len(own)
+            elif not x.apart and x.sum:
+                parts.append("\0" + x.sum)
+                node.chars += x.chars
+        node.sum = hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if parts else ""
+
+
+def longest(root: Node) -> str:
+    """The hash of the longest text without elements in it that a page shows: pages that share it count as copies."""
+    best, todo = "", [root]
+    while todo:
+        for x in todo.pop().children:
+            if isinstance(x, str):
+                best = max(best, " ".join(x.split()), key=lambda t: (len(t), t))
+            elif not x.apart:
+                todo.append(x)
+    return hashlib.blake2b(best.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
 
+def skeleton(node: Node, keep: bool = False) -> dict:
+    """One page as a template of its own: s kind, n pages, m elements, t texts of single elements that all pages have (hash: characters), c characters, l those in links, k children; d the hashes of different pages (the ENOUGH_PAGES smallest). With keep also e, the elements."""
+    sums(node)
+    return _skeleton([node], False, keep) | {"d": [longest(node)]}
 
-def _skeleton(nodes: list[Node], linked: bool) -> dict:
+
+def _skeleton(nodes: list[Node], linked: bool, keep: bool) -> dict:
     tag = nodes[0].tag
     linked = linked or tag == "a"
     kinds: dict[str, list[Node]] = {}
-    text = []
+    own = 0
     for node in nodes:
         for x in node.children:
             if isinstance(x, str):
-                text.append(x)
+                own += len(" ".join(x.split()))
             else:
                 kinds.setdefault(x.sig, []).append(x)
-    own = " ".join(" ".join(text).split())
-    children = [] if tag in RAW else [_skeleton(v, linked) for v in kinds.values()]
-    chars = len(own) + sum(x["c"] for x in children)
-    return {"s": nodes[0].sig, "a": int(nodes[0].apart), "n": 1, "t": own if len(own) <= 200 else own[:100] + str(hash_of(own)), "c": chars, "l": chars if linked else sum(x["l"] for x in children), "k": children}
-
-
-def hash_of(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    children = [] if tag in RAW else [_skeleton(v, linked, keep) for v in kinds.values()]
+    chars = own + sum(x["c"] for x in children)
+    out = {"s": nodes[0].sig, "a": int(nodes[0].apart), "n": 1, "m": len(nodes), "t": {} if nodes[0].apart else {x.sum: x.chars for x in nodes if x.sum}, "c": chars, "l": chars if linked else sum(x["l"] for x in children), "k": children}
+    return out | {"e": nodes} if keep else out
 
 
 def matching(a: dict, b: dict) -> tuple[int, list[tuple[int, int]]]:
@@ -168,50 +200,64 @@ def merged(a: dict, b: dict) -> dict:
     kinds: dict[str, dict] = {}
     for x in children:  # children that could not be matched in order
         kinds[x["s"]] = merged(kinds[x["s"]], x) if x["s"] in kinds else x
-    return {"s": a["s"], "a": a["a"], "n": a["n"] + b["n"], "t": a["t"] if a["t"] == b["t"] else None, "c": a["c"] + b["c"], "l": a["l"] + b["l"], "k": list(kinds.values())}
+    out = {"s": a["s"], "a": a["a"], "n": a["n"] + b["n"], "m": a["m"] + b["m"], "t": {h: a["t"][h] for h in a["t"].keys() & b["t"].keys()}, "c": a["c"] + b["c"], "l": a["l"] + b["l"], "k": list(kinds.values())}
+    return out | {"d": sorted({*a["d"], *b["d"]})[:ENOUGH_PAGES]} if "d" in a and "d" in b else out
 
 
 def wrapper(template: dict) -> dict:
-    """root: path of the content slot; constant: paths of nodes that say the same on all pages."""
-    pages, slots, constant = template["n"], [], []
-
-    def visit(node: dict, path: tuple[str, ...], within: bool = False) -> bool:
-        """Whether anything below varies. Inside an article or main element nothing is template: pages may be copies."""
+    """The template's tree with r: whether the node is the content slot, x: the texts that it says on all pages. s and k as in ``skeleton``."""
+    pages, slots = template["n"], []
+    enough = len(template["d"]) >= ENOUGH_PAGES
+
+    def visit(node: dict, depth: int) -> tuple[dict, int]:
+        """The node of the wrapper, and its characters that are neither constant nor apart."""
+        below = [visit(x, depth + 1) for x in node["k"]]
+        constant = sorted(node["t"]) if enough and node["n"] == pages and not node["a"] else []
+        out = {"s": node["s"], "r": 0, "x": constant, "k": [x for x, _ in below]}
         if node["a"]:
-            return False
-        within = within or bool(re.match(r"(article|main)(\.|$)", node["s"]))
-        below = [visit(x, (*path, x["s"]), within) for x in node["k"]]
-        varies = node["t"] is None or any(below)
-        if pages >= ENOUGH_PAGES and node["n"] == pages and node["t"] and not varies and not within:
-            constant.append(path)
-        kept = sum(x["c"] for x in node["k"] if not x["a"]) if node["k"] else node["c"]
-        slots.append((path, kept - 2 * node["l"], len(path)))
-        return varies
-
-    visit(template, (template["s"],))
-    named = [s for s in slots if re.match(r"(article|main)(\.|$)", s[0][-1])]
+            return out, 0
+        varying = node["c"] - sum(x["c"] for x in node["k"]) + sum(n for _, n in below)
+        if not any(x["x"] for x, _ in below):  # else they have been taken off below
+            varying -= pages * sum(node["t"][h] for h in constant)
+        tag = node["s"].split(".")[0]
+        if tag in SLOTS and (node["m"] == node["n"] or tag in NAMED):
+            slots.append((max(0, varying - 2 * node["l"]) * (HINT if tag in NAMED else 1), depth, len(slots), out))
+        return out, max(0, varying)
+
+    out = visit(template, 0)[0]
     # Of the slots that hold nearly all of the text the deepest one.
-    best = max((s[1] for s in (named or slots)), default=0)
-    good = [s for s in (named or slots) if s[1] >= 0.8 * best]
-    root = max(good, key=lambda s: s[2])[0] if good else ()
-    return {"root": list(root), "constant": [list(p) for p in constant] if root not in constant else []}  # a slot that never varies is no template
+    best = max((s[0] for s in slots), default=0)
+    root = max((s for s in slots if s[0] >= 0.8 * best), key=lambda s: (s[1], s[0], -s[2]), default=(0, 0, 0, out))[3]
+    root["r"] = 1
+    if root["x"]:  # a slot that never varies is no template
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            node["x"] = []
+            todo += node["k"]
+    return out
 
 
-def main_blocks(root: Node, wrap: dict) -> list[str]:
-    """The blocks of the page's content slot, in page order."""
-    constant = {tuple(p) for p in wrap["constant"]}
-    want = tuple(wrap["root"])
+def placed(page: dict, wrap: dict) -> dict[int, dict]:
+    """The wrapper's node for each element (by id) of a page's skeleton that matches one."""
+    out, todo = {}, [(page, wrap)]
+    while todo:
+        a, b = todo.pop()
+        out |= dict.fromkeys(map(id, a["e"]), b)
+        todo += [(a["k"][i], b["k"][j]) for i, j in matching(a, b)[1]]
+    return out
 
-    def find(named: bool) -> list[tuple[Node, tuple[str, ...]]]:
-        out, todo = [], [(root, (root.sig,))]
-        while todo:
-            node, path = todo.pop()
-            if (re.match(r"(article|main)$", node.tag) if named else path == want) and not node.apart:
-                out.append((node, path))
-                continue
-            todo += [(x, (*path, x.sig)) for x in reversed(node.children) if not isinstance(x, str) and not x.apart]
-        return out
 
+def main_blocks(root: Node, wrap: dict) -> list[str]:
+    """The blocks of the page's content slot, in page order."""
+    at = placed(skeleton(root, keep=True), wrap)
+    starts, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in at and at[id(node)]["r"]:
+            starts.append(node)
+        else:
+            todo += [x for x in reversed(node.children) if not isinstance(x, str) and not x.apart]
     blocks, text = [], []
 
     def flush() -> None:
@@ -219,21 +265,21 @@ def main_blocks(root: Node, wrap: dict) -> list[str]:
             blocks.append(line)
         text.clear()
 
-    for start, path in find(True) or find(False):
-        todo: list[tuple] = [(start, path)]
+    for start in starts:
+        todo = [start]
         while todo:
-            x, path = todo.pop()
+            x = todo.pop()
             if x is None:
                 flush()
             elif isinstance(x, str):
                 text.append(x)
-            elif not x.apart and path not in constant:
+            elif not x.apart and (x is start or id(x) not in at or x.sum not in at[id(x)]["x"]):
                 if x.tag == "br":
                     text.append(" ")
                 if x.tag in BLOCK:
                     flush()
-                    todo.append((None, ()))
-                todo += [(y, path if isinstance(y, str) else (*path, y.sig)) for y in reversed(x.children)]
+                    todo.append(None)
+                todo += reversed(x.children)
         flush()
     return blocks
 

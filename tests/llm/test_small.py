@@ -160,6 +160,24 @@ def test_pages():
     assert score == 3 and len(pairs) == 1
 
 
+def _template(pages):
+    template = None
+    for page in pages:
+        one = html.skeleton(html.parse(page))
+        template = one if template is None else html.merged(template, one)
+    return html.wrapper(template)
+
+
+def test_wrapper_acts_inside_articles():
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Story {i} goes on for quite a while {i * 7}.</p><p>By our staff</p></article></body>"
+    assert html.main_blocks(html.parse(page(3)), _template(map(page, range(12)))) == ["Title 3", "Story 3 goes on for quite a while 21."]
+    # Copies are no evidence.
+    assert html.main_blocks(html.parse(page(3)), _template([page(3)] * 12)) == ["Title 3", "Story 3 goes on for quite a while 21.", "By our staff"]
+    # The tag is a hint: a teaser in an article element is not the text.
+    teaser = lambda i: f"<body><article>Read {i}</article><div><p>{f'Text {i} of the page. ' * 20}</p></div></body>"
+    assert any("of the page" in b for b in html.main_blocks(html.parse(teaser(3)), _template(map(teaser, range(12)))))
+
+
 def test_graph_finds_neighbours():
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(3000, 24))
