@@ -1,20 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Each page becomes a DOM tree; the tree is reduced to a
-skeleton (siblings of one kind become one node) and aligned with the host's template by simple
+Pages of one host and layout (see ``layout``) share a template. Each page becomes a DOM tree; the tree is reduced to a
+skeleton (siblings of one kind become one node) and aligned with the layout's template by simple
 tree matching: the largest set of matching nodes that keeps order and ancestry. An element whose
 text is said on all pages is template, inside articles too, if ``ENOUGH_PAGES`` of the pages
 differ in their longest text (copies are no evidence); other text varies. A template
 is small, and templates can be merged in any grouping, so every task folds all of its pages
-into one template for each host, and these are merged by host in two steps.
+into one template for each layout of a host, and these are merged in two steps. Nodes are
+aligned by tag, with shared classes as weight; kinds that stay unmatched because their classes
+differ by page are merged when there are many, so a template stays small.
 
-The wrapper of a host names the content slot (the one with most varying text that is not links;
+The wrapper of a layout names the content slot (the one with most varying text that is not links;
 an article or main element counts as ``HINT`` times its text) and the constant elements. From each
 page's slot the blocks are read in order, without constant ones and what marks itself as something else: menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
-Defined results: null or empty html, and pages without such a slot, give an empty text; a page
-without a host belongs to the host ''; repeated rows give repeated results; elements deeper
+Defined results: null or empty html gives an empty text; a page without its layout's slot has the
+one that it would have alone; a page without a host belongs to the host ''; repeated rows give repeated results; elements deeper
 than ``DEEPEST`` levels count as children of that level; other columns are not read. Html of
 any length is read whole.
 """
@@ -34,10 +36,14 @@ from pyspark.sql import DataFrame, functions as F
 from rowloom.llm.common import cut, slices
 
 DEEPEST = 100
-#: Hosts whose wrappers are broadcast, at most (a few kB each).
-BROADCAST_HOSTS = 20_000
+#: Bytes of wrappers that are broadcast, at most; beyond them rows are joined with theirs.
+BROADCAST_BYTES = 16 << 20
 #: Pages from which on a text that they all share counts as template.
 ENOUGH_PAGES = 10
+#: Kinds of one tag that a node of a template has, about at most: beyond it the rarest are merged, their classes dropped.
+KINDS = 12
+# Fixed value: elements that are the same whatever their classes.
+SINGLE = frozenset("# html head body main article".split())
 #: Elements that can be the content slot; of these, the named ones count as so many times their text.
 SLOTS, NAMED, HINT = frozenset("# html body main article section div center table tbody tr td".split()), frozenset(["article", "main"]), 3
 
@@ -59,7 +65,7 @@ class Node:
         found = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
         names = [*found.get("class", "").lower().split(), *found.get("id", "").lower().split()]
         self.tag, self.children = tag, []
-        self.sig = ".".join([tag, *sorted(found.get("class", "").lower().split())])
+        self.sig = ".".join([tag, *sorted({re.sub(r"\d+", "#", x.replace(".", "")) for x in found.get("class", "").lower().split()})])
         self.apart = tag in APART or found.get("role", "").lower() in ROLES or any(MARKS.match(x) or MARKS.match(re.split(r"[-_]", x)[0]) for x in names)
 
 
@@ -144,7 +150,7 @@ def longest(root: Node) -> str:
 
 
 def skeleton(node: Node, keep: bool = False) -> dict:
-    """One page as a template of its own: s kind, n pages, m elements, t texts of single elements that all pages have (hash: characters), c characters, l those in links, k children; d the hashes of different pages (the ENOUGH_PAGES smallest). With keep also e, the elements."""
+    """One page as a template of its own: s kind, a whether it is apart, o whether n may count a page twice, n pages, m elements, t texts of single elements that all pages have (hash: characters), c characters, l those in links, k children; d the hashes of different pages (the ENOUGH_PAGES smallest). With keep also e, the elements."""
     sums(node)
     return _skeleton([node], False, keep) | {"d": [longest(node)]}
 
@@ -161,17 +167,48 @@ def _skeleton(nodes: list[Node], linked: bool, keep: bool) -> dict:
             else:
                 kinds.setdefault(x.sig, []).append(x)
     children = [] if tag in RAW else [_skeleton(v, linked, keep) for v in kinds.values()]
+    if not keep:
+        children = gathered([(1, x) for x in children])
     chars = own + sum(x["c"] for x in children)
-    out = {"s": nodes[0].sig, "a": int(nodes[0].apart), "n": 1, "m": len(nodes), "t": {} if nodes[0].apart else {x.sum: x.chars for x in nodes if x.sum}, "c": chars, "l": chars if linked else sum(x["l"] for x in children), "k": children}
+    out = {"s": nodes[0].sig, "a": int(nodes[0].apart), "o": 0, "n": 1, "m": len(nodes), "t": {} if nodes[0].apart else {x.sum: x.chars for x in nodes if x.sum}, "c": chars, "l": chars if linked else sum(x["l"] for x in children), "k": children}
     return out | {"e": nodes} if keep else out
 
 
-def matching(a: dict, b: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the number of matching nodes of two trees, and which children are matched."""
-    if a["s"] != b["s"]:
+def likeness(a: str, b: str) -> float:
+    """1 for equal kinds, less for one tag with other classes, 0 if two nodes cannot be the same: other tags, or classes of which none is shared."""
+    if a == b:
+        return 1.0
+    (tag, *x), (other, *y) = a.split("."), b.split(".")
+    if tag != other:
+        return 0.0
+    shared = len({*x} & {*y})
+    return 0.5 + 0.5 * shared / len({*x} | {*y}) if shared or not x or not y or tag in SINGLE else 0.0
+
+
+def layout(root: Node) -> str:
+    """Which elements make up a page: the tag paths of its containers, down to two levels below the body, and whether it has an article or main element."""
+    paths, todo = set(), [(root, "", 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        if node.tag in NAMED:
+            paths.add(f"~{node.tag}")
+        for x in node.children:
+            if not isinstance(x, str) and not x.apart:
+                inner = x.tag in SLOTS and x.tag not in ("html", "body")
+                here = f"{path}/{x.tag}" if inner and depth < 2 else path
+                if inner and depth < 2:
+                    paths.add(here)
+                todo.append((x, here, depth + 1 if x.tag not in ("html", "body") else depth))
+    return " ".join(sorted(paths))
+
+
+def matching(a: dict, b: dict) -> tuple[float, list[tuple[int, int]]]:
+    """Simple tree matching: how much of two trees matches, and which children are matched."""
+    alike = likeness(a["s"], b["s"])
+    if not alike or a["a"] != b["a"]:
         return 0, []
     x, y = a["k"], b["k"]
-    w = [[matching(p, q)[0] if p["s"] == q["s"] else 0 for q in y] for p in x]
+    w = [[matching(p, q)[0] for q in y] for p in x]
     m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x)):
         for j in range(len(y)):
@@ -185,35 +222,66 @@ def matching(a: dict, b: dict) -> tuple[int, list[tuple[int, int]]]:
             i -= 1
         else:
             j -= 1
-    return m[len(x)][len(y)] + 1, pairs[::-1]
+    return m[len(x)][len(y)] + alike, pairs[::-1]
+
+
+def common_kind(a: str, b: str) -> str:
+    """The tag with the classes that both kinds have."""
+    (tag, *x), y = a.split("."), {*b.split(".")[1:]}
+    return ".".join([tag, *(c for c in x if c in y)])
 
 
 def merged(a: dict, b: dict) -> dict:
-    """Two templates of the same kind as one; unmatched children are kept where they stood."""
+    """Two templates as one; unmatched children are kept where they stood."""
     pairs = matching(a, b)[1]
     children, i, j = [], 0, 0
     for p, q in [*pairs, (len(a["k"]), len(b["k"]))]:
-        children += a["k"][i:p] + b["k"][j:q]
+        children += [(1, x) for x in a["k"][i:p]] + [(2, x) for x in b["k"][j:q]]
         if p < len(a["k"]) and q < len(b["k"]):
-            children.append(merged(a["k"][p], b["k"][q]))
+            children.append((3, merged(a["k"][p], b["k"][q])))
         i, j = p + 1, q + 1
-    kinds: dict[str, dict] = {}
-    for x in children:  # children that could not be matched in order
-        kinds[x["s"]] = merged(kinds[x["s"]], x) if x["s"] in kinds else x
-    out = {"s": a["s"], "a": a["a"], "n": a["n"] + b["n"], "m": a["m"] + b["m"], "t": {h: a["t"][h] for h in a["t"].keys() & b["t"].keys()}, "c": a["c"] + b["c"], "l": a["l"] + b["l"], "k": list(kinds.values())}
+    out = {"s": common_kind(a["s"], b["s"]), "a": a["a"], "o": a["o"] | b["o"], "n": a["n"] + b["n"], "m": a["m"] + b["m"], "t": {h: a["t"][h] for h in a["t"].keys() & b["t"].keys()}, "c": a["c"] + b["c"], "l": a["l"] + b["l"], "k": gathered(children)}
     return out | {"d": sorted({*a["d"], *b["d"]})[:ENOUGH_PAGES]} if "d" in a and "d" in b else out
 
 
+def gathered(children: list[tuple[int, dict]]) -> list[dict]:
+    """Children of one kind as one; if over ``KINDS`` are left of a tag (classes that differ by page), the rarest of them, too. Each comes with the sides whose pages have it (bits)."""
+    kinds: dict[tuple, tuple[int, dict]] = {}
+
+    def put(key: tuple, side: int, x: dict) -> None:
+        if key in kinds:
+            other, y = kinds[key]
+            x = merged(y, x)
+            x["o"] |= int(bool(side & other))
+            side |= other
+        kinds[key] = side, x
+
+    for side, x in children:  # some could not be matched in order
+        put((x["s"], x["a"]), side, x)
+    tags: dict[tuple, list[tuple]] = {}
+    for key in kinds:
+        tags.setdefault((key[0].split(".")[0], key[1]), []).append(key)
+    for (tag, apart), keys in tags.items():
+        if len(keys) > KINDS:
+            n = lambda k: kinds[k][1]["n"]
+            keys.sort(key=n)
+            rare = keys[: max(len(keys) - KINDS + 1, sum(n(k) == n(keys[0]) for k in keys))]
+            parts = [kinds.pop(k) for k in rare]
+            for side, x in parts:
+                put((tag, apart), side, x | {"s": tag})
+    return list(x for _, x in kinds.values())
+
+
 def wrapper(template: dict) -> dict:
-    """The template's tree with r: whether the node is the content slot, x: the texts that it says on all pages. s and k as in ``skeleton``."""
+    """The template's tree with r: whether the node is the content slot, x: the texts that it says on all pages. s, a and k as in ``skeleton``."""
     pages, slots = template["n"], []
     enough = len(template["d"]) >= ENOUGH_PAGES
 
     def visit(node: dict, depth: int) -> tuple[dict, int]:
         """The node of the wrapper, and its characters that are neither constant nor apart."""
         below = [visit(x, depth + 1) for x in node["k"]]
-        constant = sorted(node["t"]) if enough and node["n"] == pages and not node["a"] else []
-        out = {"s": node["s"], "r": 0, "x": constant, "k": [x for x, _ in below]}
+        constant = sorted(node["t"]) if enough and node["n"] == pages and not node["a"] and not node["o"] else []
+        out = {"s": node["s"], "a": node["a"], "r": 0, "x": constant, "k": [x for x, _ in below]}
         if node["a"]:
             return out, 0
         varying = node["c"] - sum(x["c"] for x in node["k"]) + sum(n for _, n in below)
@@ -249,15 +317,23 @@ def placed(page: dict, wrap: dict) -> dict[int, dict]:
 
 
 def main_blocks(root: Node, wrap: dict) -> list[str]:
-    """The blocks of the page's content slot, in page order."""
-    at = placed(skeleton(root, keep=True), wrap)
-    starts, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if id(node) in at and at[id(node)]["r"]:
-            starts.append(node)
-        else:
-            todo += [x for x in reversed(node.children) if not isinstance(x, str) and not x.apart]
+    """The blocks of the page's content slot, in page order; of the slot that the page alone would have if it lacks the layout's."""
+    page = skeleton(root, keep=True)
+    at = placed(page, wrap)
+
+    def slots(at: dict[int, dict]) -> list[Node]:
+        out, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            if id(node) in at and at[id(node)]["r"]:
+                out.append(node)
+            else:
+                todo += [x for x in reversed(node.children) if not isinstance(x, str) and not x.apart]
+        return out
+
+    starts = slots(at)
+    if not any(x.chars for x in starts):
+        starts = slots(placed(page, wrapper(page)))
     blocks, text = [], []
 
     def flush() -> None:
@@ -290,16 +366,17 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """(host, template): all pages take part."""
+    """(host, layout, template): all pages take part."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict] = {}
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(t) for t in held.values()], pa.string())], names=["host", "template"])
+        held: dict[tuple[str, str], dict] = {}
+        pack = lambda: pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in held], pa.string()) for i in (0, 1)), pa.array([json.dumps(t) for t in held.values()], pa.string())], names=["host", "layout", "template"])
         for batch in batches:
             for part in slices(batch, "html"):
                 for host, html in zip(part.column(3).to_pylist(), part.column(2).to_pylist()):
-                    page = skeleton(parse(html.decode("utf-8", errors="replace")))
-                    held[host] = merged(held[host], page) if host in held else page
+                    root = parse(html.decode("utf-8", errors="replace"))
+                    page, key = skeleton(root), (host, layout(root))
+                    held[key] = merged(held[key], page) if key in held else page
                 if len(held) > 1000:
                     yield pack()
                     held.clear()
@@ -311,41 +388,53 @@ def templates(rows: DataFrame) -> DataFrame:
         for x in sorted(pdf["template"]):
             x = json.loads(x)
             out = x if out is None else merged(out, x)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(out)]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "layout": [pdf["layout"].iloc[0]], "template": [json.dumps(out)]})
 
-    kind = "host string, template string"
+    kind = "host string, layout string, template string"
     partial = rows.mapInArrow(fold, kind).withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(32)))
-    return partial.groupBy("host", "salt").applyInPandas(join, kind).groupBy("host").applyInPandas(join, kind)
+    return partial.groupBy("host", "layout", "salt").applyInPandas(join, kind).groupBy("host", "layout").applyInPandas(join, kind)
 
 
 def wrappers(rows: DataFrame) -> DataFrame:
-    """(host, wrapper) as JSON."""
+    """(host, layout, wrapper): the wrapper as JSON."""
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(wrapper(json.loads(t))) for t in batch.column(1).to_pylist()], pa.string())], names=["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([json.dumps(wrapper(json.loads(t))) for t in batch.column(2).to_pylist()], pa.string())], names=["host", "layout", "wrapper"])
 
-    return templates(rows).mapInArrow(induce, "host string, wrapper string")
+    return templates(rows).mapInArrow(induce, "host string, layout string, wrapper string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: page_id, url, text (blocks joined by an empty line), n_chars."""
     rows = _rows(pages, id_col, url_col, html_col)
     wraps = cut(wrappers(rows))
-    few = wraps.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    size = F.octet_length("host") + F.octet_length("layout") + F.octet_length("wrapper") + 200
+    few = (wraps.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+    shared = pages.sparkSession.sparkContext.broadcast({(r.host, r.layout): r.wrapper for r in wraps.collect()}) if few else None
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                yield part.append_column("layout", pa.array([layout(parse(html.decode("utf-8", errors="replace"))) for html in part.column(2).to_pylist()], pa.string()))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}
         for batch in batches:
             for part in slices(batch, "html"):
                 out = []
-                for html, wrap in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for html, of in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    root = parse(html.decode("utf-8", errors="replace"))
+                    wrap = shared.value[of, layout(root)] if few else of
                     if wrap not in known:
                         if len(known) > 1000:
                             known.clear()
                         known[wrap] = json.loads(wrap)
-                    out.append("\n\n".join(main_blocks(parse(html.decode("utf-8", errors="replace")), known[wrap])))
+                    out.append("\n\n".join(main_blocks(root, known[wrap])))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(F.broadcast(wraps) if few else wraps, "host").select("page_id", "url", "html", "wrapper")
-    return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    kind = "page_id long, url string, text string, n_chars long"
+    if few:
+        return rows.mapInArrow(extract, kind)
+    known = rows.mapInArrow(laid, "page_id long, url string, html binary, host string, layout string")
+    return known.join(wraps, ["host", "layout"]).select("page_id", "url", "html", "wrapper").mapInArrow(extract, kind)

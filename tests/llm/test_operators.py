@@ -269,6 +269,15 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_layouts(spark, monkeypatch):
+    text = lambda i: f"Text {i} of the page. " * 20
+    rows = [(i, "http://a.b/c", f"<body><article><p>{text(i)}</p></article></body>" if i == 3 else f"<body><div class='post{' sticky' * (i % 4 == 0)}'><p>{text(i)}</p></div></body>") for i in range(30)]
+    for limit in (html.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(html, "BROADCAST_BYTES", limit)
+        out = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.page_id: r.text for r in out} == {i: text(i).strip() for i in range(30)}
+
+
 # -- 9: secrets
 
 

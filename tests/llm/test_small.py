@@ -178,6 +178,20 @@ def test_wrapper_acts_inside_articles():
     assert any("of the page" in b for b in html.main_blocks(html.parse(teaser(3)), _template(map(teaser, range(12)))))
 
 
+def test_layouts_and_classes_that_differ_by_page():
+    text = lambda i: f"Text {i} of the page. " * 20
+    article, plain = (lambda i: f"<body><article><p>{text(i)}</p></article></body>"), (lambda i: f"<body><div class='post'><p>{text(i)}</p></div></body>")
+    assert html.layout(html.parse(article(1))) != html.layout(html.parse(plain(1)))
+    assert html.main_blocks(html.parse(plain(1)), _template(map(article, range(12)))) == [text(1).strip()]
+    sticky = lambda i: f"<body class='postid-{i} slug{'abcdefghijklmnopqrst'[i]}'><div class='top'>Site</div><div class='post{' sticky' * (i % 5 == 0)}'><p>{text(i)}</p></div></body>"
+    wrap = _template(map(sticky, range(20)))
+    assert [html.main_blocks(html.parse(sticky(i)), wrap) for i in range(20)] == [[text(i).strip()] for i in range(20)]
+    own = lambda i: f"<body><div class='top'>Site</div><div class='x{'abcdefghijklmnopqrst'[i % 20]}{'abcdefghijklmnopqrst'[i // 20]}'><p>{text(i)}</p></div></body>"
+    assert len(html.json.dumps(_template(map(own, range(400))))) < 4000
+    wrap = _template(map(own, range(400)))
+    assert html.main_blocks(html.parse(own(7)), wrap) == [text(7).strip()]
+
+
 def test_graph_finds_neighbours():
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(3000, 24))
