@@ -16,8 +16,9 @@ page's slot the blocks are read in order, without constant ones and what marks i
 sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 Defined results: null or empty html gives an empty text; a page without its layout's slot has the
-one that it would have alone; a page without a host belongs to the host ''; repeated rows give repeated results; elements deeper
-than ``DEEPEST`` levels count as children of that level; other columns are not read. Html of
+one that it would have alone; a page without a host belongs to the host ''; repeated rows give repeated results; elements
+nested to any depth are read (templates see those below ``DEEPEST`` levels as children of that
+level); other columns are not read. Html of
 any length is read whole.
 """
 
@@ -26,7 +27,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowloom.llm.common import cut, slices
 
+#: Levels of a template. What lies deeper takes part as children of that level; no text is lost by it.
 DEEPEST = 100
 #: Bytes of wrappers that are broadcast, at most; beyond them rows are joined with theirs.
 BROADCAST_BYTES = 16 << 20
@@ -58,15 +62,21 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 MARKS = re.compile(r"^(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|reader-?comments|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|widget|pagination|pager)$")
 
 
+@lru_cache(1 << 14)
+def kind_of(tag: str, classes: str, name: str, role: str) -> tuple[str, bool]:
+    """The kind of an element (tag and classes, digits as one), and whether it marks itself as something else than text."""
+    own = classes.lower().split()
+    apart = tag in APART or role.lower() in ROLES or any(MARKS.match(x) or MARKS.match(re.split(r"[-_]", x)[0]) for x in [*own, *name.lower().split()])
+    return ".".join([tag, *sorted({re.sub(r"\d+", "#", x.replace(".", "")) for x in own})]), apart
+
+
 class Node:
-    __slots__ = ("tag", "sig", "apart", "children", "sum", "chars")
+    __slots__ = ("tag", "sig", "apart", "children", "sum", "chars", "own", "long")
 
     def __init__(self, tag: str, attrs: list[tuple[str, str | None]]):
         found = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
-        names = [*found.get("class", "").lower().split(), *found.get("id", "").lower().split()]
         self.tag, self.children = tag, []
-        self.sig = ".".join([tag, *sorted({re.sub(r"\d+", "#", x.replace(".", "")) for x in found.get("class", "").lower().split()})])
-        self.apart = tag in APART or found.get("role", "").lower() in ROLES or any(MARKS.match(x) or MARKS.match(re.split(r"[-_]", x)[0]) for x in names)
+        self.sig, self.apart = kind_of(tag, found.get("class", ""), found.get("id", ""), found.get("role", ""))
 
 
 class Tree(HTMLParser):
@@ -76,35 +86,42 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#", [])
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # places of the open elements by tag
+        self.blocks: list[int] = []
 
     def _pop_to(self, i: int) -> None:
+        for node in reversed(self.open[i:]):
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
         del self.open[i:]
 
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag; 0 if there is none."""
+        return self.at[tag][-1] if self.at.get(tag) else 0
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        tags = [n.tag for n in self.open]
-        if tag in BLOCK and "p" in tags:
-            at = len(tags) - 1 - tags[::-1].index("p")
-            if not any(t in BLOCK for t in tags[at + 1 :]):
-                self._pop_to(at)
+        if tag in BLOCK and (p := self._last("p")) and self.blocks[-1] == p:
+            self._pop_to(p)
         if tag in ENDS:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in HOLDS[tag]:
-                    break
-                if self.open[i].tag in ENDS[tag]:
-                    self._pop_to(i)
+            held = max(self._last(t) for t in HOLDS[tag])
+            inner = [(x := self.at.get(t, []))[(i := bisect_right(x, held)) : i + 1] for t in ENDS[tag]]
+            if at := min((x[0] for x in inner if x), default=0):
+                self._pop_to(at)
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK:
+                self.blocks.append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._pop_to(i)
-                return
+        if i := self._last(tag):
+            self._pop_to(i)
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
@@ -118,55 +135,55 @@ def parse(html: str) -> Node:
 
 
 def sums(root: Node) -> None:
-    """Gives each element the hash of the text that it shows and the number of its characters; '' and 0 without text."""
+    """Gives each element the hash of the text that it shows ('' without text), the number of its characters, of those of its own, and the longest text without elements in it."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [x for x in node.children if not isinstance(x, str)]
     for node in reversed(order):
-        parts, node.chars = [], 0
+        parts, chars, node.own, long = [], 0, 0, ""
         for x in node.children:
             if isinstance(x, str):
                 if own := " ".join(x.split()):
                     parts.append(own)
-                    node.chars += len(own)
+                    node.own += len(own)
+                    if len(own) >= len(long):
+                        long = max(long, own, key=lambda t: (len(t), t))
             elif not x.apart and x.sum:
                 parts.append("\0" + x.sum)
-                node.chars += x.chars
-        node.sum = hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if parts else ""
+                chars += x.chars
+                if len(x.long) >= len(long):
+                    long = max(long, x.long, key=lambda t: (len(t), t))
+        node.long, node.chars = long, chars + node.own
+        node.sum = digest("\0".join(parts)) if parts else ""
 
 
-def longest(root: Node) -> str:
-    """The hash of the longest text without elements in it that a page shows: pages that share it count as copies."""
-    best, todo = "", [root]
-    while todo:
-        for x in todo.pop().children:
-            if isinstance(x, str):
-                best = max(best, " ".join(x.split()), key=lambda t: (len(t), t))
-            elif not x.apart:
-                todo.append(x)
-    return hashlib.blake2b(best.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def skeleton(node: Node, keep: bool = False) -> dict:
     """One page as a template of its own: s kind, a whether it is apart, o whether n may count a page twice, n pages, m elements, t texts of single elements that all pages have (hash: characters), c characters, l those in links, k children; d the hashes of different pages (the ENOUGH_PAGES smallest). With keep also e, the elements."""
     sums(node)
-    return _skeleton([node], False, keep) | {"d": [longest(node)]}
+    return _skeleton([node], False, keep) | {"d": [digest(node.long)]}
 
 
-def _skeleton(nodes: list[Node], linked: bool, keep: bool) -> dict:
+def _skeleton(nodes: list[Node], linked: bool, keep: bool, level: int = 1) -> dict:
     tag = nodes[0].tag
     linked = linked or tag == "a"
     kinds: dict[str, list[Node]] = {}
-    own = 0
-    for node in nodes:
+    todo = nodes[::-1]
+    own = sum(x.own for x in nodes)
+    while todo and level <= DEEPEST:
+        node, below = todo.pop(), []
         for x in node.children:
-            if isinstance(x, str):
-                own += len(" ".join(x.split()))
-            else:
+            if not isinstance(x, str):
                 kinds.setdefault(x.sig, []).append(x)
-    children = [] if tag in RAW else [_skeleton(v, linked, keep) for v in kinds.values()]
+                if level == DEEPEST and not x.apart:  # all that is below, in page order
+                    below.append(x)
+        todo += below[::-1]
+    children = [] if tag in RAW else [_skeleton(v, linked, keep, level + 1) for v in kinds.values()]
     if not keep:
         children = gathered([(1, x) for x in children])
     chars = own + sum(x["c"] for x in children)
@@ -225,6 +242,13 @@ def matching(a: dict, b: dict) -> tuple[float, list[tuple[int, int]]]:
     return m[len(x)][len(y)] + alike, pairs[::-1]
 
 
+def pairs_of(a: dict, b: dict) -> list[tuple[int, int]]:
+    """Which children of two nodes match. Those of the same kinds in the same order match one to one."""
+    if [(x["s"], x["a"]) for x in a["k"]] == [(x["s"], x["a"]) for x in b["k"]]:
+        return [(i, i) for i in range(len(a["k"]))]
+    return matching(a, b)[1]
+
+
 def common_kind(a: str, b: str) -> str:
     """The tag with the classes that both kinds have."""
     (tag, *x), y = a.split("."), {*b.split(".")[1:]}
@@ -233,7 +257,7 @@ def common_kind(a: str, b: str) -> str:
 
 def merged(a: dict, b: dict) -> dict:
     """Two templates as one; unmatched children are kept where they stood."""
-    pairs = matching(a, b)[1]
+    pairs = pairs_of(a, b)
     children, i, j = [], 0, 0
     for p, q in [*pairs, (len(a["k"]), len(b["k"]))]:
         children += [(1, x) for x in a["k"][i:p]] + [(2, x) for x in b["k"][j:q]]
@@ -312,7 +336,7 @@ def placed(page: dict, wrap: dict) -> dict[int, dict]:
     while todo:
         a, b = todo.pop()
         out |= dict.fromkeys(map(id, a["e"]), b)
-        todo += [(a["k"][i], b["k"][j]) for i, j in matching(a, b)[1]]
+        todo += [(a["k"][i], b["k"][j]) for i, j in pairs_of(a, b)]
     return out
 
 

@@ -192,6 +192,16 @@ def test_layouts_and_classes_that_differ_by_page():
     assert html.main_blocks(html.parse(own(7)), wrap) == [text(7).strip()]
 
 
+def test_pages_nested_to_any_depth():
+    deep = lambda n, inner: f"<body><div><article><p>First</p>{'<div>' * n}{inner}{'</div>' * n}<p>Last</p></article></div><p>Outside</p></body>"
+    for n in (3, 150, 20_000):
+        page = html.parse(deep(n, "<script>x</script><nav>Menu</nav><p>Inner</p>"))
+        assert html.main_blocks(page, html.wrapper(html.skeleton(page))) == ["First", "Inner", "Last"]
+    page = html.parse("<table><tr><td>a<td>b<table><tr><td>c</table><tr><td>d</table><ul><li>e<ul><li>f</ul><li>g</ul><p>h<div>i")
+    kinds = lambda x: [x.tag, *(c if isinstance(c, str) else kinds(c) for c in x.children)]
+    assert kinds(page) == ["#", ["table", ["tr", ["td", "a"], ["td", "b", ["table", ["tr", ["td", "c"]]]]], ["tr", ["td", "d"]]], ["ul", ["li", "e", ["ul", ["li", "f"]]], ["li", "g"]], ["p", "h"], ["div", "i"]]
+
+
 def test_graph_finds_neighbours():
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(3000, 24))
