@@ -79,6 +79,13 @@ def test_chains_follow_order_and_break_at_gaps():
         assert fuzzy_passages.common_words(x, y) == brute(x, y)
 
 
+def test_chains_have_predecessors_within_the_gap():
+    a = np.array([0, *range(3000, 3400, 40)])
+    b = a + np.r_[0, np.arange(10) * 2]  # one long passage, then an edited one beyond the gap
+    found = fuzzy_passages.chain(a, b, np.r_[1100, np.full(10, 15)], np.r_[0, np.arange(10) * 6 + 500] << 6 | 5)
+    assert sorted(c[:4] for c in found) == [(0, 1100, 0, 1100), (3000, 3375, 3000, 3393)]
+
+
 def _lcs(x, y):
     best = [[[] for _ in range(len(y) + 1)] for _ in range(len(x) + 1)]
     for i in range(len(x)):
