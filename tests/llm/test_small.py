@@ -86,6 +86,22 @@ def test_chains_have_predecessors_within_the_gap():
     assert sorted(c[:4] for c in found) == [(0, 1100, 0, 1100), (3000, 3375, 3000, 3393)]
 
 
+def test_ends_go_over_edited_words():
+    def found(n, edits, core):
+        x = [f"w{i}" for i in range(n)]
+        y = [f"e{i}" if i in edits else w for i, w in enumerate(x)]
+        of = lambda t, s: " ".join([f"{s}{i}" for i in range(30)] + t + [f"{s}{i}" for i in range(30, 60)])
+        a, b = of(x, "l").encode(), of(y, "r").encode()
+        place = lambda t: (t.index(f" w{core[0]} ".encode()) + 1, t.index(f" w{core[1]} ".encode()) + 1)
+        return fuzzy_passages.aligned(a, b, place(a), place(b), 0, 0, (True,) * 4)[4:]
+
+    assert found(60, {7, 52}, (20, 40)) == (60, 60, 58)
+    assert found(50, {7}, (20, 40)) == (50, 50, 49)
+    assert found(50, {1}, (20, 40)) == (50, 50, 49)
+    assert found(70, {10, 11, 59}, (30, 35)) == (70, 70, 67)
+    assert found(40, {7}, (20, 30))[0] < 50
+
+
 def _lcs(x, y):
     best = [[[] for _ in range(len(y) + 1)] for _ in range(len(x) + 1)]
     for i in range(len(x)):
