@@ -218,9 +218,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y").union(links.select(F.col(b), F.col(a)).filter(f"{a} <> {b}")).distinct())
     out = None
     while True:
-        ends = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l"))
+        ends = cut(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")))
         while True:
-            ends = cut(ends)
             up = ends.select(F.col("x").alias("via"), F.col("l").alias("to"))
             step = cut(ends.join(up, ends["l"] == up["via"]).select("x", F.col("to").alias("l"), (F.col("to") != F.col("l")).alias("moved")))
             ends = step.select("x", "l")

@@ -3,7 +3,7 @@
 Documents with equal sets of shingles form one class and are represented by their smallest id.
 Each representative is posted under its coordinate-value pairs. Two sets of similarity s agree
 in each coordinate with chance s, so a pair at the threshold collides in at least ``needed``
-coordinates but for a chance of about one in a million; pairs below that are not retained.
+coordinates but for a chance of a few in a thousand million; pairs below that are not retained.
 
 * Prefix: of its pairs, ordered from the rarest to the commonest over the whole corpus, a
   document needs to be posted only under the first ``coordinates - needed + 1``: two documents
@@ -12,13 +12,16 @@ coordinates but for a chance of about one in a million; pairs below that are not
   two documents together, their collisions are counted on their signatures, over ``FINE`` more
   coordinates of two bits each, whose threshold (``matches_needed``) leaves out the same share.
 
-Retained pairs are confirmed on the full sets. Pairs are compared in two steps, so that a large
-group of copies doesn't yield all its pairs. First, for a few rounds, every document names its
-closest partner in another component in blocks of its lists; confirmed links join components.
-Then all pairs that share a posting, have enough collisions and lie in different components are
-confirmed. Links inside a component
-change nothing, so the components are those of all links. A list longer than a block is split
-by a hash; then only the documents outside the list's largest component visit all of its blocks.
+Retained pairs are confirmed on the full sets, in two steps, neither of which writes all pairs of
+a group. First, every document names its two closest partners in blocks of its commonest lists;
+confirmed links join components. Then lists that still hold
+several components are compared block by block. A pair is looked at in one of its shared lists
+only, and a block hands on no pairs but the documents that take part in one: their sets are sent
+to the block and counted against each other there, and it returns links that join components, at
+most one for each of its documents. Links inside a component change nothing, so the components
+are those of all links. A list longer than a block is split by a hash; the documents outside the
+list's largest component (guests), dealt into blocks too, meet each block of it, so no task holds
+more than one block and one block of guests.
 
 Defined results: a text without words has an empty set and is its own component; with fewer
 words than a shingle the whole sequence is one shingle; repeated rows and equal texts fall in
@@ -36,15 +39,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowloom.llm.common import WordClass, bytes_of, cut, grams, grown, mix, release, same, shuffle_partitions, slices, texts_of, words
+from rowloom.llm.common import WordClass, bytes_of, components, cut, grams, grown, mix, release, same, shuffle_partitions, slices, texts_of, words
 
 #: Fixed value: bytes that end a word.
 WORDS = WordClass.build([(0x20, 0x20), (0x09, 0x0D)])
 COORDINATES = 96
-#: Documents of one list that are compared in one block, in the first and the second step.
+#: Documents of one list that are compared in one block, in the first and the second step, and shingles of a block.
 BLOCKS = (256, 1024)
-#: Coordinates of two bits that collisions are counted on; rounds of the first step.
-FINE, ROUNDS = 1024, 2
+BLOCK_SHINGLES = 2_000_000
+#: Standard deviations that thresholds on collisions stand under the expected number.
+DEVIATIONS = 6.0
+#: Coordinates of two bits that collisions are counted on.
+FINE = 1024
 #: Ids of documents to read again that are broadcast, at most (8 bytes each).
 BROADCAST_LIMIT = 1_000_000
 _RNG = np.random.default_rng(20)
@@ -86,10 +92,18 @@ def fine_signature(shingles: np.ndarray) -> np.ndarray:
     return low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6
 
 
+def _least_count(n: int, p: float) -> int:
+    return max(1, floor(n * p - DEVIATIONS * sqrt(n * p * (1 - p))))
+
+
+def coordinates_needed(s: float) -> int:
+    """Coordinates of the signature that agree at similarity s, less what chance takes off a few times in a thousand million."""
+    return _least_count(COORDINATES, s)
+
+
 def matches_needed(s: float) -> int:
-    """Coordinates of two bits that agree at similarity s, less what chance takes off once in a million."""
-    p = s + (1 - s) / 4
-    return floor(FINE * p - 4.75 * sqrt(FINE * p * (1 - p)))
+    """The same for the coordinates of two bits, which also agree by chance."""
+    return _least_count(FINE, s + (1 - s) / 4)
 
 
 def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -121,23 +135,24 @@ def post(reps: DataFrame) -> DataFrame:
 
 
 def prefixes(postings: DataFrame, needed: int) -> DataFrame:
-    """(rep, key, n): the postings that can bring a pair together; n is the length of the key's whole list.
+    """(rep, key, left): the postings that can bring a pair together, left of which each document has after this one.
 
     Pairs that occur once come first in every document's order and are dropped, so of its m other
-    postings a document keeps all but the last needed - 1.
+    postings a document keeps all but the last needed - 1. Lengths of lists are counted before the
+    shuffle and joined, so that no list has to be in one task.
     """
-    shared = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     by = Window.partitionBy("rep")
-    ranked = shared.withColumn("m", F.count(F.lit(1)).over(by)).filter(F.col("m") >= needed)
-    return ranked.withColumn("r", F.row_number().over(by.orderBy("n", "key"))).withColumn("left", F.col("m") - needed + 1 - F.col("r")).filter("left >= 0").select("rep", "key", "n", "left")
+    ranked = postings.join(lengths, "key").withColumn("m", F.count(F.lit(1)).over(by)).filter(F.col("m") >= needed)
+    return ranked.withColumn("r", F.row_number().over(by.orderBy("n", "key"))).withColumn("left", F.col("m") - needed + 1 - F.col("r")).filter("left >= 0").select("rep", "key", "left")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[list[np.ndarray]]:
-    """Columns of whole groups from a sorted partition; the first two columns name the group."""
+def _groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000, size: int = 32 << 20) -> Iterator[pa.Table]:
+    """Whole groups from a sorted partition, some thousand rows or ``size`` bytes at a time; the first two columns name the group."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if table.num_rows < rows:
+        if table.num_rows < rows and table.nbytes < size:
             held = table
             continue
         key, block = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -201,29 +216,132 @@ def closest_pairs(lists: DataFrame, needed: int, per_document: int) -> DataFrame
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def crossing_pairs(lists: DataFrame, needed: int) -> DataFrame:
-    """(a, b): all pairs of a block in different components that collide often enough. Two documents of the list's largest component are never compared."""
+#: Parts that a document has in a block: at home there, in the list's largest component or not (both also with further blocks of guests), or as a guest.
+HOME, OUTSIDE, AGAIN, GUEST = 0, 1, 2, 4
+
+
+def _shared_least(keys: pa.ChunkedArray) -> np.ndarray:
+    """A row for each document, a hash at the coordinate of each of its keys, 0 at others."""
+    lists = keys.combine_chunks()
+    flat, ends = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), COORDINATES), np.uint32)
+    out[np.repeat(np.arange(len(lists)), ends), (flat & np.uint64(0xFFFF)).astype(np.int64)] = (mix(flat) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return out
+
+
+def partners(visits: DataFrame, needed: int) -> DataFrame:
+    """(key, block, rep): the documents of a block that have a partner there: in another component, with enough collisions, and with no shared list of a smaller hash.
+
+    visits: key, block, rep, sig, component, part, keys (the lists that the document visits).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             key, block, rep, sig = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), _packed(table.column(3))
-            comp = table.column(4).to_numpy()
+            comp, part, lists = table.column(4).to_numpy(), table.column(5).to_numpy(), _shared_least(table.column(6))
+            own = (mix(key.view(np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
             group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+            taken = np.zeros(len(key), bool)
             for d in range(1, int(np.bincount(group).max())):
                 inside = group[:-d] == group[d:]
                 if not inside.any():
                     break
                 i = np.flatnonzero(inside & (comp[:-d] != comp[d:]))
+                p, q = part[i], part[i + d]
+                home, rep_home, rep_guest = np.where(q == GUEST, p, q), np.where(q == GUEST, rep[i], rep[i + d]), np.where(q == GUEST, rep[i + d], rep[i])
+                i = i[(p < AGAIN) & (q < AGAIN) | ((p == GUEST) != (q == GUEST)) & ((home & 1 == 0) | (rep_home < rep_guest))]
                 i = i[_collisions(sig, i, i + d) >= needed]
-                if len(i):
-                    yield _pair_batch(rep[i], rep[i + d])
+                for lo in range(0, len(i), 20_000):
+                    x = i[lo : lo + 20_000]
+                    a, b = lists[x], lists[x + d]
+                    x = x[np.where((a == b) & (a > 0), a, np.uint32(0xFFFFFFFF)).min(1) == own[x]]
+                    taken[x] = taken[x + d] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[taken]) for x in (key, block, rep)], names=["key", "block", "rep"])
+
+    return visits.mapInArrow(run, "key long, block long, rep long").distinct()
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    both = np.concatenate([s, t])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def common_counts(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """The sizes of the intersections of all sets with each other: products of 0-1 matrices, ``width`` shared elements at a time."""
+    sizes = [len(s) for s in sets]
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = count > 1
+    at = np.cumsum(shared) - 1
+    keep = shared[of]
+    column, owner = at[of[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        piece = np.zeros((len(sets), width), np.float32)
+        piece[owner[a:b], column[a:b] - lo] = 1
+        out += piece @ piece.T
+    return out
 
-    return lists.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
+def joining_links(sets: list[np.ndarray], component: np.ndarray, numerator: int, denominator: int, few: int = 6) -> list[tuple[int, int]]:
+    """Pairs of sets, similar enough, that join the components which all such pairs join; at most one less than there are components."""
+    n, of, out = len(sets), component.copy(), []
+    size = np.array([len(s) for s in sets], np.int64)
+    enough = lambda common, i, j: denominator * common >= numerator * (size[i] + size[j] - common)
+    counts = common_counts(sets) if n > few else None
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[(of[j] != of[i]) & (denominator * np.minimum(size[i], size[j]) >= numerator * np.maximum(size[i], size[j]))]
+        if counts is not None:
+            j = j[enough(counts[i, j], i, j)]
+        for k in j:
+            if of[k] != of[i] and (counts is not None or enough(_common(sets[i], sets[k]), i, k)):
+                out.append((i, int(k)))
+                of[of == of[k]] = of[i]
+    return out
 
-def _blocks(lists: DataFrame, size: int) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return lists.withColumn("blocks", F.ceil(n / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+
+def block_links(taking_part: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(a, b): confirmed links that join the components of each block, counted on full sets. taking_part: key, block, rep, component, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            key, block, rep, comp = (table.column(i).to_numpy() for i in range(4))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(4)]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(key)]
+            found = [(a + i, a + j) for a, b in zip(cuts, cuts[1:]) for i, j in joining_links(sets[a:b], comp[a:b], numerator, denominator)]
+            x, y = np.array(found, np.int64).reshape(-1, 2).T
+            yield _pair_batch(rep[x], rep[y])
+
+    return taking_part.mapInArrow(run, "a long, b long").distinct()
+
+
+def _blocks(lists: DataFrame, size: int, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Adds blocks and block: each list is dealt by a hash into blocks of about ``size`` documents and ``shingles`` shingles."""
+    lengths = lists.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.ceil(F.sum("n_shingles") / shingles)).alias("blocks"))
+    return lists.join(lengths, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))
+
+
+def open_blocks(known: DataFrame, size: int) -> DataFrame:
+    """(rep, key, component, block, part): the blocks of lists that hold several components, with guests. known: rep, key, n_shingles, component."""
+    sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    blocks_of = lambda n, s: F.greatest(F.ceil(n / size), F.ceil(s / BLOCK_SHINGLES), F.lit(1))
+    lists = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"),
+        F.max(F.struct("n", "component", "s")).alias("most"),
+    ).filter("kinds > 1")
+    lists = lists.select("key", "largest", blocks_of(F.col("all_n"), F.col("all_s")).alias("blocks"), blocks_of(F.col("all_n") - F.col("most.n"), F.col("all_s") - F.col("most.s")).alias("guest_blocks"))
+    rows = known.join(lists, "key").withColumn("home", F.pmod(F.xxhash64("rep", "key"), F.col("blocks"))).withColumn("outside", (F.col("component") != F.col("largest")).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    at_home = rows.withColumn("turn", each(F.when(F.col("blocks") > 1, F.col("guest_blocks")).otherwise(F.lit(1).cast("long"))))
+    at_home = at_home.withColumn("block", F.col("home") * F.col("guest_blocks") + F.col("turn")).withColumn("part", F.col("outside") + F.when(F.col("turn") > 0, AGAIN).otherwise(0))
+    guests = rows.filter("blocks > 1 and outside = 1").withColumn("turn", F.pmod(F.xxhash64("key", "rep"), F.col("guest_blocks"))).withColumn("of", each(F.col("blocks")))
+    guests = guests.withColumn("block", F.col("of") * F.col("guest_blocks") + F.col("turn")).withColumn("part", F.lit(GUEST))
+    return at_home.select("rep", "key", "component", "block", "part").union(guests.select("rep", "key", "component", "block", "part"))
 
 
 def _dealt(lists: DataFrame, *columns: str) -> DataFrame:
@@ -241,10 +359,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
                 if denominator * min(len(s), len(t)) < numerator * max(len(s), len(t)):
                     keep.append(False)
                     continue
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(denominator * common >= numerator * (len(both) - common))
+                common = _common(s, t)
+                keep.append(denominator * common >= numerator * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
@@ -268,40 +384,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, numerator: int = 75, denominator: int = 100) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest id it is linked with, itself included), kept."""
     s = numerator / denominator
-    needed = max(1, floor(COORDINATES * s - 4.75 * sqrt(COORDINATES * s * (1 - s))))
     sketches = cut(sketch(documents, size, id_col, text_col))
     named = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
-    lists = cut(prefixes(post(classes), needed))
+    lists = prefixes(post(classes), coordinates_needed(s))
+    lists = cut(lists.join(classes.select("rep", "n_shingles"), "rep"))
     release(documents.sparkSession)
     wanted = cut(lists.select("rep").distinct())
     sets = cut(_sets(texts_of(documents, id_col, text_col), wanted.withColumnRenamed("rep", "doc_id"), size))
     packed = sets.select(F.col("doc_id").alias("rep"), "sig")
     enough = matches_needed(s)
 
-    def with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return rows.withColumn("component", F.col("rep"))
+    commonest = _blocks(lists.filter("left < 6"), BLOCKS[0])
+    near = closest_pairs(_dealt(commonest.join(packed, "rep").withColumn("component", F.col("rep")), "rep", "sig", "component"), enough, 2)
+    found = components(cut(confirm(near, sets, numerator, denominator)))
+    release(documents.sparkSession)
+
+    def with_components(rows: DataFrame) -> DataFrame:
         return rows.join(found, rows["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
 
-    commonest = cut(_blocks(lists.filter("left < 6"), BLOCKS[0]))
-    found = None
-    for turn in range(ROUNDS):
-        near = closest_pairs(_dealt(with_components(commonest.join(packed, "rep"), found), "rep", "sig", "component"), enough, 1 if turn else 2)
-        fresh = cut(confirm(near, sets, numerator, denominator))
-        if turn and not fresh.limit(1).count():
-            break
-        found = grown(found, fresh)
-        release(documents.sparkSession)
-    known = with_components(lists.select("rep", "key"), found)
-    known = cut(_blocks(known, BLOCKS[1]))
-    size_of = known.groupBy("key", "blocks", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = size_of.groupBy("key", "blocks").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    open_lists = known.join(largest.drop("blocks"), "key")
-    guests = open_lists.filter("blocks > 1 and component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    visits = open_lists.unionByName(guests).dropDuplicates(["key", "block", "rep"])
-    second = crossing_pairs(_dealt(visits.join(packed, "rep"), "rep", "sig", "component"), enough)
-    last = cut(confirm(second, sets, numerator, denominator))
+    visits = cut(open_blocks(with_components(lists.select("rep", "key", "n_shingles")), BLOCKS[1]))
+    keys = visits.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    taking_part = partners(_dealt(visits.join(packed, "rep").join(keys, "rep"), "rep", "sig", "component", "part", "keys"), enough)
+    of_sets = sets.select(F.col("doc_id").alias("rep"), "shingles")
+    last = cut(block_links(_dealt(with_components(taking_part).join(of_sets, "rep"), "rep", "component", "shingles"), numerator, denominator))
     release(documents.sparkSession)
     joined = grown(found, last)
 
