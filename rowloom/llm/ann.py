@@ -27,11 +27,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowloom.llm.common import cut
+from rowloom.llm.common import cut, shuffle_partitions
 
-LINKS, BUILD_BEAM, BEAM = 16, 64, 128
-#: Shards at least, and vectors in a shard at most (on average); queries in one block.
-SHARDS, SHARD_ROWS, BLOCK = 8, 200_000, 1000
+LINKS, BUILD_BEAM, BEAM = 24, 96, 128
+#: Shards at least, and vectors in a shard at most (on average); queries in one block; blocks that one copy of a shard's index serves.
+SHARDS, SHARD_ROWS, BLOCK, SERVED = 8, 4_000, 1000, 64
+
+
+def beam_of(n: int, beam: int = BEAM) -> int:
+    """Nodes that a search keeps in a shard of n: more than ``beam`` from 1000 nodes on.
+
+    Measured recall of 20 on Gaussian vectors of 64 components with norms that differ fourfold, the
+    hardest kind tried: 0.94 at 4000 nodes, 0.96 at 10,000. Shards hold no more than this covers, so
+    the time to build all of them grows with the vectors.
+    """
+    return max(beam, round(beam * (n / 1000) ** 0.75))
 
 
 class Graph:
@@ -183,18 +193,21 @@ def build_index(nodes: DataFrame, shards: int) -> DataFrame:
     return nodes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, vectors binary, ids binary, sizes binary, levels array<binary>, links array<binary>, entry int")
 
 
-def _found(x: dict, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _opened(x: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     vectors = np.frombuffer(x["vectors"]).reshape(-1, x["dim"])
-    ids, sizes = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["sizes"], np.int32)
     levels = [np.frombuffer(b, np.int32) for b in x["levels"]]
     graph = Graph(Graph.lifted(vectors), levels, [np.frombuffer(b, np.int32).reshape(len(n), -1) for b, n in zip(x["links"], levels)], x["entry"])
-    own, queries = np.array(x["query_ids"], np.int64), np.array(x["queries"], np.float64)
+    return graph, vectors, np.frombuffer(x["ids"], np.int64), np.frombuffer(x["sizes"], np.int32)
+
+
+def _found(index: tuple[Graph, np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    graph, vectors, ids, sizes = index
     first = np.cumsum(sizes) - sizes
     out = []
     step = max(1, min(len(own), (32 << 20) // len(vectors)))
     for lo in range(0, len(own), step):
         q = queries[lo : lo + step]
-        nodes, _ = graph.search(np.column_stack([q, np.zeros(len(q))]).astype(np.float32), min(max(beam, k + 1), len(vectors)))
+        nodes, _ = graph.search(np.column_stack([q, np.zeros(len(q))]).astype(np.float32), min(max(beam_of(len(vectors), beam), k + 1), len(vectors)))
         r, c = np.nonzero(nodes >= 0)
         node = nodes[r, c]
         score = np.concatenate([(vectors[node[a : a + 4096]] * q[r[a : a + 4096]]).sum(1) for a in range(0, len(node), 4096)])
@@ -220,15 +233,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM,
     index = cut(build_index(nodes, shards))
     asked = rows.filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // BLOCK))
+    copies = -(-blocks // SERVED)
     asked = asked.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    asked = asked.select("dim", "block", F.col("q.vec_id").alias("query_ids"), F.col("q.v").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("block", F.lit(copies)).alias("copy"), "block", F.col("q.vec_id").alias("query_ids"), F.col("q.v").alias("queries"))
+    held = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))).withColumn("block", F.lit(-1).cast("long"))
+    # A copy of a shard's index comes first among the blocks of queries it serves, and is opened once.
+    dealt = held.unionByName(asked, allowMissingColumns=True).repartition(shuffle_partitions(index), "dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, opened = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                query, vec, score = _found(batch.slice(i, 1).to_pylist()[0], k, beam)
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+                x = batch.slice(i, 1).to_pylist()[0]
+                if x["block"] < 0:
+                    at, opened = (x["dim"], x["shard"], x["copy"]), _opened(x)
+                elif at == (x["dim"], x["shard"], x["copy"]):
+                    query, vec, score = _found(opened, np.array(x["query_ids"], np.int64), np.array(x["queries"], np.float64), k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = index.join(asked, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
