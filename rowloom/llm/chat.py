@@ -23,7 +23,13 @@ string; turns are formatted before they are gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from rowloom.llm.common import slices
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 KINDS = ("image", "audio", "document")
@@ -76,22 +82,23 @@ def format_conversations(messages: DataFrame, id_col: str = "conv_id", turn_col:
     """
     parts = F.coalesce(F.col(parts_col), F.array().cast(PARTS))
     attached = F.filter(parts, lambda p: p["kind"].isin(*KINDS))
+    role = F.coalesce(F.col(role_col), F.lit(""))
     rows = messages.select(
-        F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-        F.concat_ws("", F.transform(parts, visit)).alias("body"), F.transform(attached, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens"))).alias("attached"),
-    )
-    sort = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "body", "attached")
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(sort)).alias("turns"))
-    piece = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY), t["body"], F.lit(END))
-    out = turns.withColumn("pieces", F.transform("turns", piece))
-    # The first code point of each body: lengths of the turns before, then this turn's head.
-    spot = lambda a, t: F.struct((a["at"] + F.length(piece(t))).alias("at"), F.when(t["role"] == trained_role, F.concat(a["loss"], F.array(F.struct((a["at"] + F.length(F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)))).alias("first"), (a["at"] + F.length(piece(t)) - len(END)).alias("last"))))).otherwise(a["loss"]).alias("loss"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("loss"))
-    return out.select(
-        "conv_id", F.concat_ws("", "pieces").alias("formatted"), F.aggregate("turns", start, spot)["loss"].alias("loss"),
-        F.flatten(F.transform("turns", lambda t, i: F.transform(t["attached"], lambda p: F.struct(i.alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))))).alias("attachments"),
-        F.aggregate(F.flatten(F.transform("turns", lambda t: F.transform(t["attached"], lambda p: p["tokens"]))), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_attachment_tokens"),
+        F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.concat_ws("", F.transform(parts, lambda p: p["text"])).alias("plain"),
+        F.concat(F.lit(TURN), escape(role), F.lit(BODY)).alias("head"), F.concat_ws("", F.transform(parts, visit)).alias("body"),
+        F.transform(attached, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens"))).alias("attached"),
     )
+    # Where each turn begins is summed up before turns are gathered, so the work is linear in them.
+    by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "plain", "body", "attached")
+    placed = rows.withColumn("nth", F.row_number().over(by) - 1).withColumn("before", F.coalesce(F.sum(F.length("head") + F.length("body") + len(END)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = F.col("before") + F.length("head")
+    turn = F.struct("nth", F.concat("head", "body", F.lit(END)).alias("piece"), (F.col("role") == trained_role).alias("trained"), first.alias("first"), (first + F.length("body")).alias("last"), "attached")
+    out = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: F.struct(t["first"].alias("first"), t["last"].alias("last")))
+    attachments = F.flatten(F.transform("turns", lambda t: F.transform(t["attached"], lambda p: F.struct(t["nth"].alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))))
+    return out.select("conv_id", F.concat_ws("", F.transform("turns", lambda t: t["piece"])).alias("formatted"), spans.alias("loss"), attachments.alias("attachments")).withColumn(
+        "n_attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, p: a + p["tokens"])
+    )
 
 
 def read_back(formatted: DataFrame, column: str = "formatted") -> DataFrame:
@@ -103,10 +110,21 @@ def read_back(formatted: DataFrame, column: str = "formatted") -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: all read from ``formatted`` and its mask."""
-    back = read_back(formatted)
-    loss = F.concat_ws("", F.transform("loss", lambda s: unescape(F.substring("formatted", s["first"] + 1, s["last"] - s["first"]))))
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: all read from ``formatted`` and its mask.
+
+    The masked text is cut out in Python, where a slice costs its own length; SQL's substring counts characters from the start for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "formatted"):
+                masked = []
+                for text, loss in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    masked.append("".join(re.sub(r"(?s)\\(.)", r"\1", text[s["first"] : s["last"]]) for s in loss))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(masked, pa.string())], names=["conv_id", "formatted", "masked"])
+
+    back = read_back(formatted.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id long, formatted string, masked string"))
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
