@@ -202,17 +202,21 @@ def is_contaminated() -> F.Column:
 
 
 def _summary(rows: DataFrame, with_key: bool = False) -> DataFrame:
-    """Lengths of the union of the windows in each text, in one shuffle by text."""
+    """Lengths of the union of the windows in each text, in one shuffle by text. Repeated rows are merged before it and told out again at the end."""
+    rows = rows.groupBy("id", "key", "start", "n").agg(F.any_value("items").alias("items"), F.count(F.lit(1)).alias("copies"))
     by = Window.partitionBy("id", "key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
     is_hit = F.col("start") >= 0
     reach = F.coalesce(F.max(F.when(is_hit, end)).over(by), F.lit(0))
     per = rows.withColumn("fresh", F.when(is_hit, F.greatest(F.lit(0), end - F.greatest("start", reach))).otherwise(F.lit(0)))
     out = per.groupBy("id", "key").agg(
-        F.max(F.when(~is_hit, F.col("n"))).alias("n_words"), F.count(F.when(~is_hit, F.lit(1))).alias("copies"), F.sum("fresh").alias("n_hit"),
+        F.max(F.when(~is_hit, F.col("n"))).alias("n_words"), F.max(F.when(~is_hit, F.col("copies"))).alias("copies"), F.sum("fresh").alias("n_hit"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items"),
     )
-    return out.select(F.col("id").alias("doc_id"), *["key"] * with_key, "n_words", "n_hit", "items", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    piece = 10_000  # numbers of copies are told out in two steps, so that no array is long
+    out = out.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / piece))))
+    out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(piece), F.col("copies") - F.col("of") * piece).cast("int"))))
+    return out.select(F.col("id").alias("doc_id"), *["key"] * with_key, "n_words", "n_hit", "items")
 
 
 def judged(found: DataFrame) -> DataFrame:
