@@ -12,9 +12,9 @@ other columns are not read; spans count code points, end exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log2
 
 import pyarrow as pa
@@ -39,9 +39,14 @@ ALLOWED = (
     re.compile(r"[A-Za-z]*(?:[_/-][A-Za-z]*)+"),
     re.compile(r"[0-9_/+=-]+"),
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?:[A-Za-z]{1,24}|[0-9]{1,8})?(?:[/_-](?:[A-Za-z]{0,24}|[0-9]{0,8}))+"),
-)
-_XLOG = [0.0, *(c * log2(c) for c in range(1, 257))]
+    re.compile(r"(?:[A-Za-z]{1,24}|[0-9]{1,8})?(?:[/_-](?:[A-Za-z]{1,24}|[0-9]{1,8})?)+"),
+)  # after each separator only one way goes on, so a run of any length is matched in linear time
+
+
+@lru_cache(8)
+def _xlog(window: int) -> list[float]:
+    """c * log2(c) for the counts that a window can hold."""
+    return [0.0, *(c * log2(c) for c in range(1, window + 2))]
 
 
 def run_class(run: str) -> str:
@@ -53,17 +58,17 @@ def run_class(run: str) -> str:
 def entropy_spans(run: str, window: int, threshold: float) -> list[tuple[int, int]]:
     """Maximal stretches of the run that lie under windows whose entropy reaches the threshold."""
     counts: dict[str, int] = {}
-    total, spans = 0.0, []
+    xlog, total, spans = _xlog(window), 0.0, []
     need = (log2(window) - threshold) * window  # entropy >= threshold: sum of c * log2(c) is at most this
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         counts[c] = n + 1
-        total += _XLOG[n + 1] - _XLOG[n]
+        total += xlog[n + 1] - xlog[n]
         if i >= window:
             out = run[i - window]
             n = counts[out]
             counts[out] = n - 1
-            total += _XLOG[n - 1] - _XLOG[n]
+            total += xlog[n - 1] - xlog[n]
         if i >= window - 1 and total <= need + 1e-9:
             if spans and spans[-1][1] >= i - window + 1:
                 spans[-1] = (spans[-1][0], i + 1)
