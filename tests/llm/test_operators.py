@@ -154,6 +154,19 @@ def test_chat_parts(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_with_many_turns_and_ties(spark):
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<s> ü \\ "), F.col("id").cast("string")).alias("text"))
+    ties = spark.createDataFrame([(2, 0, "assistant", t) for t in ("<|b", "<s>", "\\", "a", "<s>")], "conv_id long, id long, role string, text string")
+    messages = turns.union(ties).withColumn("parts", chat.text_part(F.col("text"))).withColumn("formatted", F.lit("x")).withColumn("nth", F.lit(3))
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(messages, turn_col="id")).collect()}
+    texts = [f"<s> ü \\ {i}" for i in range(n)]
+    assert got[1].n_turns == n and got[1].loss_sha256 == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\n{t}\n" for i, t in enumerate(texts)).encode()).hexdigest()
+    tied = sorted(["<|b", "<s>", "\\", "a", "<s>"])
+    assert got[2].loss_sha256 == hashlib.sha256("".join(tied).encode()).hexdigest() and got[2].loss_chars == len("".join(tied))
+
+
 # -- 5: toxicity
 
 
@@ -176,13 +189,15 @@ def test_toxicity_learns_and_leaves_held_out_rows(spark):
     flipped = frame(spark, [(i, 1 - y if i in set(held) else y) for i, y in labels], "doc_id long, toxic int")
     assert {i: r.score for i, r in out.items()} == {r.doc_id: r.score for r in toxicity.classify(docs, flipped).collect()}
     assert {r.score for r in toxicity.classify(docs, known.limit(0)).collect()} == {0.0}
-    assert toxicity.classify(awkward(spark), known).count() == len(AWKWARD)
+    assert toxicity.classify(awkward(spark), known).count() == len(AWKWARD) and toxicity.classify(docs.limit(0), known).count() == 0
+    often = docs.filter("doc_id < 5").union(docs.filter("doc_id = 7").select("doc_id", "text").join(spark.range(2000).select(F.lit(1).alias("one"))).drop("one"))
+    assert toxicity.classify(often, known).filter("doc_id = 7").agg(F.countDistinct("score")).first()[0] == 1
 
 
 # -- 6: neighbours
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = rng.normal(size=(900, 16)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, []), (None, [1.0] * 16)]
@@ -199,6 +214,13 @@ def test_neighbours(spark):
         hits.append(len({i for _, i in want} & {r[1] for r in got[q]}) / 20)
     assert np.mean(hits) >= 0.9 and set(got) == {i for i in usable if i % 20 == 0}
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    monkeypatch.setattr(ann, "BLOCK", 5)
+    monkeypatch.setattr(ann, "SERVED", 2)
+    clashing = spark.createDataFrame([(i, v, 7, "x") for i, v in rows], "vec_id long, embedding array<float>, shard int, dim string")
+    again = defaultdict(list)
+    for r in ann.nearest(clashing).orderBy("query_id", "rank").collect():
+        again[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(again) == set(got) and np.mean([len({x[1] for x in again[q]} & {x[1] for x in got[q]}) for q in got]) > 19
 
 
 # -- 7: near-duplicates
@@ -243,6 +265,41 @@ def test_near_duplicates(spark):
     assert kept.columns == ["doc_id", "text", "tag", "names"] and {r.doc_id for r in kept.collect()} & {5, 6} == set()
 
 
+def test_near_duplicates_in_a_large_group(spark, monkeypatch):
+    """A group whose pairs lie around the threshold, in blocks so small that its lists need many, with blocks of guests."""
+    monkeypatch.setattr(minhash, "BLOCKS", (16, 16))
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        ws = base[:]
+        for _ in range(rng.randint(1, 9)):
+            ws[rng.randrange(120)] = f"edit{rng.randrange(10**9)}"
+        rows.append((i, " ".join(ws)))
+    rows += [(300 + i, rows[i][1]) for i in range(0, 300, 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert got == want and 20 < sum(kept for _, _, kept in want.values()) < 290
+
+
+def test_open_blocks_meet_every_pair_once(spark):
+    rng = random.Random(12)
+    known = [(rep, key, 10, rng.choice([0, 0, 0, rep])) for key in range(3) for rep in range(60 + 20 * key)]
+    out = minhash.open_blocks(spark.createDataFrame(known, "rep long, key long, n_shingles long, component long"), 7).collect()
+    blocks = defaultdict(list)
+    for r in out:
+        blocks[r.key, r.block].append(r)
+    assert max(map(len, blocks.values())) <= 40
+    met = set()
+    for (key, _), rs in blocks.items():
+        for x in rs:
+            for y in rs:
+                if x.component != y.component and not (x.part == y.part == minhash.GUEST):
+                    met.add((key, min(x.rep, y.rep), max(x.rep, y.rep)))
+    comp = {(key, rep): c for rep, key, _, c in known}
+    assert met == {(key, a, b) for key in range(3) for a in range(60 + 20 * key) for b in range(a + 1, 60 + 20 * key) if comp[key, a] != comp[key, b]}
+
+
 # -- 8: pages
 
 
@@ -295,7 +352,7 @@ def test_secret_scan(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(x for *_, x in sorted(found)).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in found) for j in range(3)]
         assert {x for *_, x in found} <= set(r.spans.split(",")) | {""}
-    assert secrets.find_secrets(awkward(spark)).count() == len(AWKWARD)
+    assert secrets.find_secrets(awkward(spark)).count() == len(AWKWARD) and secrets.find_secrets(frame(spark, [])).count() == 0
     masked = secrets.redact(frame(spark, [(1, "token=abcdefgh1 x", 3), (None, None, None)], "doc_id long, text string, n_chars long")).collect()
     assert masked[0].text == "[SECRET] x" and masked[0].n_chars == 10 and masked[1].text is None
 
@@ -315,6 +372,8 @@ def test_decontamination(spark, limit):
     assert sorted(r.doc_id for r in kept) == [3, 4, 5, 5, 5]
     assert decontam.contamination(frame(spark, docs), bench.limit(0), broadcast_limit=limit).filter("n_hit > 0").count() == 0
     assert decontam.contamination(frame(spark, []), bench, broadcast_limit=limit).count() == 0
+    many = spark.range(100_000).select(F.lit(8).cast("long").alias("doc_id"), F.lit("a short item here").alias("text"), F.lit("x").alias("items"), F.lit(1).alias("key"))
+    assert [tuple(r) for r in decontam.contamination(many, bench, broadcast_limit=limit).groupBy("doc_id", "n_words", "n_hit").count().collect()] == [(8, 4, 3, 100_000)]
 
 
 # -- queries and pipeline

@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 import regex
 
-from rowloom.llm import ann, bpe, decontam, fuzzy_passages, html, secrets
+from rowloom.llm import ann, bpe, decontam, fuzzy_passages, html, minhash, secrets, toxicity
 from rowloom.llm.common import WordClass, grams, winnow, words
 from rowloom.llm.exact_substrings import repeated_windows, runs
 from rowloom.llm.suffix import common_prefixes, smaller_than_next, sort_suffixes
@@ -151,6 +152,15 @@ def test_secret_kinds():
     assert secrets.redact_text("abcdef", [(1, 3), (2, 4)], "*") == "a*ef"
 
 
+@pytest.mark.parametrize("mark", "-_/=+.")
+def test_long_runs_of_separators_take_linear_time(mark):
+    began = time.perf_counter()
+    for text in (mark * 10_000 + "aB1", "ab" + mark * 10_000 + "aB1x", (mark + "a") * 5000 + "Z9", (mark + "12") * 5000 + "x9", "word " * 20 + (mark * 3 + "w") * 3000 + "A1b2"):
+        secrets.scan(text)
+    assert time.perf_counter() - began < 10
+    assert secrets.scan("a1/" * 4000, window=400) is not None and secrets.scan("x9" * 600, window=300) is not None
+
+
 def test_random_secrets_are_found_whole():
     rng, alnum = random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     for letters, n in ((alnum, 20), (alnum + "+/", 20), (alnum + "+/", 24), (alnum, 40), (alnum + "+/", 40)):
@@ -234,14 +244,69 @@ def test_pages_nested_to_any_depth():
     assert kinds(page) == ["#", ["table", ["tr", ["td", "a"], ["td", "b", ["table", ["tr", ["td", "c"]]]]], ["tr", ["td", "d"]]], ["ul", ["li", "e", ["ul", ["li", "f"]]], ["li", "g"]], ["p", "h"], ["div", "i"]]
 
 
-def test_graph_finds_neighbours():
+@pytest.mark.parametrize("kind", ["gaussian", "clustered", "unequal"])
+def test_graph_finds_neighbours(kind):
+    """Recall of 20 in a shard of the full size, whose nodes a search keeps a tenth of at most."""
     rng = np.random.default_rng(3)
-    vectors = rng.normal(size=(3000, 24))
+    n = ann.SHARD_ROWS
+    vectors = rng.normal(size=(n, 64))
+    if kind == "clustered":
+        vectors = rng.normal(size=(200, 64))[rng.integers(0, 200, n)] * 2 + vectors / 2
+    if kind == "unequal":
+        vectors *= rng.uniform(0.5, 2, (n, 1))
     graph = ann.Graph.build(vectors)
-    queries = vectors[:100]
-    nodes, _ = graph.search(np.column_stack([queries, np.zeros(100)]).astype(np.float32), 128)
-    exact = np.argsort(-(queries @ vectors.T), axis=1)[:, :20]
-    assert np.mean([len(set(a[:64]) & set(b)) / 20 for a, b in zip(nodes.tolist(), exact.tolist())]) >= 0.9
+    asked = np.arange(0, n, 25)
+    queries = vectors[asked]
+    assert ann.beam_of(n) < n / 10
+    nodes, _ = graph.search(np.column_stack([queries, np.zeros(len(queries))]).astype(np.float32), ann.beam_of(n))
+    score = queries @ vectors.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    found = np.where(nodes < 0, -np.inf, np.take_along_axis(score, np.maximum(nodes, 0), 1))
+    top = np.take_along_axis(nodes, np.argsort(-found, axis=1)[:, :20], 1)
+    exact = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(top.tolist(), exact.tolist())]) >= 0.9
+
+
+def test_links_inside_a_block_against_every_pair():
+    rng = np.random.default_rng(4)
+    for trial in range(40):
+        n = int(rng.integers(1, 30))
+        base = rng.choice(10_000, 40, replace=False)
+        sets = [np.unique(np.where(rng.random(40) < rng.uniform(0, 0.3), rng.integers(0, 10_000, 40), base)).astype(np.uint64) for _ in range(n)]
+        component = rng.integers(0, n, n)
+        inter = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+        counts = minhash.common_counts(sets, width=7)
+        assert all(counts[i, j] == inter[i][j] for i in range(n) for j in range(n) if i != j)
+
+        def joined(links):
+            of = component.copy()
+            for i, j in links:
+                of[of == of[j]] = of[i]
+            return [[bool(of[i] == of[j]) for j in range(n)] for i in range(n)]
+
+        every = [(i, j) for i in range(n) for j in range(i) if 100 * inter[i][j] >= 75 * (len(sets[i]) + len(sets[j]) - inter[i][j])]
+        for few in (0, 100):
+            links = minhash.joining_links(sets, component, 75, 100, few)
+            assert joined(links) == joined(every) and len(links) < n
+
+
+def test_convolution_learns_from_a_random_start():
+    """Pairs of words decide: neither word does alone, so filters of two words are needed; no start by counts could tell."""
+    rng = random.Random(5)
+    texts, y = [], []
+    for i in range(1500):
+        ws = [rng.choice(["tree", "house", "river", "walk", "quiet", "song", "vile", "thing"]) for _ in range(20)]
+        ws = [w for k, w in enumerate(ws) if not (w == "thing" and k and ws[k - 1] == "vile")]
+        if bad := i % 2:
+            k = rng.randrange(len(ws))
+            ws[k:k] = ["vile", "thing"]
+        raw = np.frombuffer(" ".join(ws).encode(), np.uint8)
+        texts.append(raw)
+        y.append(int(bad))
+    parts = [toxicity.features(raw, np.array([0, len(raw)])) for raw in texts]
+    model = toxicity.train([p[1] for p in parts[:1200]], np.array([p[2][0] for p in parts[:1200]]), np.array(y[:1200]))
+    score = np.concatenate([model.score(raw, np.array([0, len(raw)])) for raw in texts[1200:]])
+    assert np.mean((score >= 0.5) == np.array(y[1200:])) > 0.9
 
 
 def test_hash_helpers_agree_with_plain_python():
