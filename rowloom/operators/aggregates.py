@@ -42,7 +42,7 @@ def sum_(v: View, column: str | int) -> int | float:
 def freq(v: View, name: str) -> View:
     """Different rows in the order of first occurrence, each with its count."""
     w = v.upward()
-    found = w.df.groupBy(*(f"c{i}" for i in range(w.width))).agg(F.min(w.rank()).alias("_first"), F.count(F.lit(1)).cast("int").alias("_n"))
+    found = w.df.groupBy(*(f"c{i}" for i in range(w.width))).agg(F.min(w.rank()).alias("_first"), F.count(F.lit(1)).alias("_n"))
     if not w.width:
         found = found.filter("_n > 0")
     return View.build(found, [*w.columns(), (name, F.col("_n"))], [(F.col("_first")[f"_o{i}"], True) for i in range(len(w.order))])

@@ -66,7 +66,7 @@ def rename(v: View, *pairs: str | int) -> View:
 def tag(v: View, name: str) -> View:
     """A last column with the row numbers from 0."""
     w = v.numbered()
-    return w.with_columns([*w.columns(), (name, w.rid().cast("int"))])
+    return w.with_columns([*w.columns(), (name, w.rid())])
 
 
 @operator

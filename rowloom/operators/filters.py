@@ -43,9 +43,9 @@ def where(v: View, condition: Expression) -> View:
 @operator
 def index(v: View, condition: Expression) -> View:
     """Positions of the rows that satisfy the condition."""
-    w = v.numbered()
-    cond = F.expr(condition) if isinstance(condition, str) else condition
-    return index_view(v.spark, _named(w).filter(cond).select("_o0"), F.col("_o0"))
+    w, df, cond = _ready(v, condition)
+    kept = View.build(df, [("kept", cond)], w.ordering(), w.dense).numbered()  # only the answer is numbered, not the columns
+    return index_view(v.spark, kept.df.filter("c0").select("_o0"), F.col("_o0"))
 
 
 @operator

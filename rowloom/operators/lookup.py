@@ -13,6 +13,9 @@ from rowloom.operators.position import index_view
 from rowloom.plans.registry import operator
 from rowloom.plans.view import View, equal
 
+#: Numbers in a block of rows that one task compares with their neighbours.
+BLOCK_ROWS = 1 << 16
+
 
 @operator
 def hashcol(v: View, column: str | int) -> View:
@@ -70,8 +73,8 @@ def strlookup(spark: SparkSession, key: str, items: list[str]) -> int:
 @operator
 def lookup(v: View, column: str | int, value: Any) -> int:
     """The first position of a value in a column, or -1."""
-    w = v.numbered()
-    out = w.df.filter(w.col(column) == F.lit(value)).agg(F.min("_o0")).first()[0]
+    w = v.onecol(column).numbered()
+    out = w.df.filter(F.col("c0") == F.lit(value)).agg(F.min("_o0")).first()[0]
     return -1 if out is None else out
 
 
@@ -79,13 +82,16 @@ def lookup(v: View, column: str | int, value: Any) -> int:
 def bitruns(v: View, column: str | int) -> View:
     """Run lengths of a 0/1 column: the first bit, then the lengths of the runs in turn.
 
-    A run starts where the bit differs from the one before: neighbours are joined by number, so
-    no window runs over the whole view. A run's length is the distance to the next start.
+    A run starts where the bit differs from the one before. Rows are compared within blocks of
+    numbers, and a block's first row with the last one of the block before, so no window runs
+    over the whole view. A run's length is the distance to the next start.
     """
-    w = v.numbered()
-    bits = w.df.select(w.rid().alias("at"), (w.col(column) != 0).cast("int").alias("bit"))
-    before = bits.select((F.col("at") + 1).alias("_next"), F.col("bit").alias("_was"))
-    starts = bits.join(before, F.col("at") == F.col("_next"), "left").filter("_was is null or _was <> bit").select("at", "bit")
+    w = v.onecol(column).numbered()
+    bits = w.df.select(w.rid().alias("at"), (F.col("c0") != 0).cast("int").alias("bit")).withColumn("block", F.floor(F.col("at") / BLOCK_ROWS))
+    ends = bits.filter(F.col("at") % BLOCK_ROWS == BLOCK_ROWS - 1).select((F.col("block") + 1).alias("_next"), F.col("bit").alias("_end"))
+    within = bits.withColumn("_was", F.lag("bit").over(Window.partitionBy("block").orderBy("at")))
+    joined = within.join(ends, F.col("block") == F.col("_next"), "left").withColumn("_was", F.when(F.col("at") % BLOCK_ROWS == 0, F.col("_end")).otherwise(F.col("_was")))
+    starts = joined.filter("_was is null or _was <> bit").select("at", "bit")
     numbered = View.build(starts, [("at", F.col("at")), ("bit", F.col("bit"))], [(F.col("at"), True)]).numbered()
     end = numbered.df.select((F.col("_o0") - 1).alias("_k"), F.col("c0").alias("_end"))
     runs = numbered.df.join(end, F.col("_o0") == F.col("_k"), "left").crossJoin(F.broadcast(bits.agg(F.count(F.lit(1)).alias("_n"))))

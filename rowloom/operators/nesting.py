@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from rowloom.plans.registry import operator
 from rowloom.plans.view import Nest, View, equal
 
+#: Rows of a right side that are broadcast as one nested value, at most.
+BROADCAST_ROWS = 10_000
+
 
 def shared_keys(v: View, w: View) -> list[tuple[int, int]]:
     """Places of the columns that both views have by name and type, nested types included."""
@@ -65,7 +68,9 @@ def join(v: View, w: View, name: str) -> View:
         groups = right.groupBy(*(columns[j][1] for _, j in keys)).agg(nested)
         joined = v.df.join(groups, equal((F.col(f"c{i}"), columns[j][1]) for i, j in keys), "left")
     else:
-        joined = v.df.crossJoin(F.broadcast(right.agg(nested)))  # one row
+        few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        whole = right.agg(nested)  # one row that holds all of the right: it is what each row of the result holds
+        joined = v.df.crossJoin(F.broadcast(whole) if few else whole)
     kind = joined.schema["_nest"].dataType
     empty = F.array().cast(kind) if rest else F.lit(0).cast("long")
     return View.build(joined, [*v.columns(), (name, F.coalesce("_nest", empty))], v.ordering(), v.dense, Nest("join", v, tuple(keys), w))
@@ -99,13 +104,18 @@ def group_aggregate(v: View, columns: Sequence[str | int], **aggregates: Column)
 
 
 @operator
-def grouped(v: View, ends: Sequence[int], permutation: Sequence[int], name: str) -> View:
-    """Nested views from cumulative ends and a permutation of positions: row g holds the rows between its end and the one before."""
+def grouped(v: View, ends: Sequence[int] | View, permutation: Sequence[int] | View, name: str) -> View:
+    """Nested views from cumulative ends and a permutation of positions: row g holds the rows between its end and the one before. Both may be lists or views of one column."""
     from rowloom.operators.position import positions
 
     w = v.numbered()
-    bounds = v.spark.createDataFrame([(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends))], "_g long, _lo long, _hi long")
-    places = v.spark.createDataFrame([(g, p) for g, (a, b) in enumerate(zip([0, *ends], ends)) for p in range(a, b)], "_g long, _p long")
+    if isinstance(ends, View):
+        e = ends.numbered()
+        before = e.df.select((e.rid() + 1).alias("_next"), F.col("c0").cast("long").alias("_lo"))
+        bounds = e.df.join(before, e.rid() == F.col("_next"), "left").select(e.rid().alias("_g"), F.coalesce("_lo", F.lit(0)).alias("_lo"), F.col("c0").cast("long").alias("_hi"))
+    else:
+        bounds = v.spark.createDataFrame([(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends))], "_g long, _lo long, _hi long")
+    places = bounds.filter("_hi > _lo").select("_g", F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_p"))
     rows = places.join(positions(v.spark, permutation), F.col("_p") == F.col("_at")).join(w.df, F.col("_from") == w.rid())
     nests = rows.groupBy("_g").agg(_nested([F.col("_p")], w.columns()).alias("_nest"))
     out = bounds.join(nests, "_g", "left")

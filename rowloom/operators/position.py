@@ -127,9 +127,15 @@ def remap(v: View, indexes: Sequence[int] | View) -> View:
 
 
 @operator
-def remapsub(v: View, indexes: Sequence[int], start: int, count: int) -> View:
+def remapsub(v: View, indexes: Sequence[int] | View, start: int, count: int) -> View:
     """``remap`` over a part of the list; a negative count means all of it."""
-    return remap(v, list(indexes) if count < 0 else list(indexes)[start : start + count])
+    if count < 0:
+        return remap(v, indexes)
+    if not isinstance(indexes, View):
+        return remap(v, list(indexes)[start : start + count])
+    w = indexes.numbered()
+    part = w.df.filter((w.rid() >= start) & (w.rid() < start + count)).withColumn("_o0", w.rid() - start)
+    return remap(v, View(part, w.names, w.order, dense=True))
 
 
 def index_view(spark: SparkSession, df: DataFrame, at: Column) -> View:
@@ -137,7 +143,7 @@ def index_view(spark: SparkSession, df: DataFrame, at: Column) -> View:
     return View.build(df, [("index", at.cast("long"))], [(at.cast("long"), True)])
 
 
-def omitmap(spark: SparkSession, indexes: Sequence[int], n: int) -> View:
-    """The positions 0..n-1 that are not in the list."""
-    out = spark.createDataFrame([(i,) for i in indexes], "_x long")
+def omitmap(spark: SparkSession, indexes: Sequence[int] | View, n: int) -> View:
+    """The positions 0..n-1 that are not in the list, or in a view of one column."""
+    out = indexes.df.select(F.col("c0").cast("long").alias("_x")).distinct() if isinstance(indexes, View) else spark.createDataFrame([(i,) for i in indexes], "_x long")
     return index_view(spark, spark.range(n).join(out, F.col("id") == F.col("_x"), "left_anti"), F.col("id"))

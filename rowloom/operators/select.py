@@ -60,14 +60,17 @@ def select(v: View, criteria: Sequence[tuple[str, Sequence[str | int] | str | in
     ``rsort`` keys come before ``sort`` keys and turn the whole order so far: less significant
     keys and ties go backwards, too.
     """
-    w = v.numbered()
-    conditions = [reduce(lambda a, b: a | b, [_matches(w.col(c), kind, key) for c in ([columns] if isinstance(columns, (str, int)) else columns)]) for kind, columns, key in criteria]
-    found = w.df.filter(reduce(lambda a, b: a & b, conditions)) if conditions else w.df
+    conditions = [reduce(lambda a, b: a | b, [_matches(v.col(c), kind, key) for c in ([columns] if isinstance(columns, (str, int)) else columns)]) for kind, columns, key in criteria]
+    by = [*rsort, *sort]
+    # Only whether a row matches and its sort keys are numbered, not the other columns.
+    needed = [("matches", reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)), *((str(c), v.col(c)) for c in by)]
+    w = View.build(v.df, needed, v.ordering(), v.dense).numbered()
+    found = w.df.filter("c0")
     keys = [(F.col("_o0"), True)]
-    for c in reversed(sort):
-        keys.insert(0, (w.col(c), True))
-    for c in reversed(rsort):
-        keys = [(w.col(c), False), *((k, not up) for k, up in keys)]
+    for i in reversed(range(len(rsort), len(by))):
+        keys.insert(0, (F.col(f"c{i + 1}"), True))
+    for i in reversed(range(len(rsort))):
+        keys = [(F.col(f"c{i + 1}"), False), *((k, not up) for k, up in keys)]
     out = View.build(found, [("index", F.col("_o0"))], keys)
     if first:
         numbered = out.numbered()

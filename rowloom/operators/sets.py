@@ -18,7 +18,7 @@ def _present(v: View, w: View, how: str) -> View:
     need_compat(v, w)
     right, columns, _ = w.as_right()
     on = equal((F.col(f"c{i}"), c) for i, (_, c) in enumerate(columns))
-    return View(v.df.join(right.select(*(c for _, c in columns)), on, how), v.names, v.order)
+    return View(v.df.join(right.select(*(c for _, c in columns)).distinct(), on, how), v.names, v.order)
 
 
 @operator

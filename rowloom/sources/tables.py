@@ -82,7 +82,7 @@ def countview(spark: SparkSession, n: int) -> View:
 
 def iota(spark: SparkSession, n: int, name: str = "A") -> View:
     """The integers 0..n-1."""
-    return View.build(spark.range(n), [(name, F.col("id").cast("int"))], [(F.col("id"), True)], dense=True)
+    return View.build(spark.range(n), [(name, F.col("id"))], [(F.col("id"), True)], dense=True)
 
 
 @operator
