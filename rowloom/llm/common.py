@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -174,15 +176,15 @@ def winnow(g: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
 def cut(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (local tests) a folder of its own is made.
+    The folder is the session's spark.checkpoint.dir; only where that is unset and Spark runs in one process (tests) a folder of its own is made.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints")
         context.setCheckpointDir(folder)
     return df.checkpoint()
