@@ -61,12 +61,18 @@ APART = frozenset("nav header footer aside form menu dialog fieldset".split()) |
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
 MARKS = re.compile(r"^(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|reader-?comments|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|widget|pagination|pager)$")
 
+#: Elements that hold text themselves: a whole class marks them as something else, not the first part of one (ad-hoc, share-price).
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption dl dt dd li td th span a b i em strong code".split())
+
 
 @lru_cache(1 << 14)
 def kind_of(tag: str, classes: str, name: str, role: str) -> tuple[str, bool]:
     """The kind of an element (tag and classes, digits as one), and whether it marks itself as something else than text."""
     own = classes.lower().split()
-    apart = tag in APART or role.lower() in ROLES or any(MARKS.match(x) or MARKS.match(re.split(r"[-_]", x)[0]) for x in [*own, *name.lower().split()])
+    marks = [*own, *name.lower().split()]
+    if tag not in TEXTUAL:
+        marks += [re.split(r"[-_]", x)[0] for x in marks]
+    apart = tag in APART or role.lower() in ROLES or any(MARKS.match(x) for x in marks)
     return ".".join([tag, *sorted({re.sub(r"\d+", "#", x.replace(".", "")) for x in own})]), apart
 
 
@@ -340,6 +346,18 @@ def placed(page: dict, wrap: dict) -> dict[int, dict]:
     return out
 
 
+def in_links(root: Node) -> int:
+    """Characters of the element's text that stand in links."""
+    total, todo = 0, [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "a":
+            total += x.chars
+        else:
+            todo += [y for y in x.children if not isinstance(y, str) and not y.apart]
+    return total
+
+
 def main_blocks(root: Node, wrap: dict) -> list[str]:
     """The blocks of the page's content slot, in page order; of the slot that the page alone would have if it lacks the layout's."""
     page = skeleton(root, keep=True)
@@ -358,6 +376,8 @@ def main_blocks(root: Node, wrap: dict) -> list[str]:
     starts = slots(at)
     if not any(x.chars for x in starts):
         starts = slots(placed(page, wrapper(page)))
+    if len(starts) > 1:  # teasers of other pages are links for the most part
+        starts = [x for x in starts if 2 * in_links(x) < x.chars] or starts
     blocks, text = [], []
 
     def flush() -> None:

@@ -220,6 +220,17 @@ def test_wrapper_acts_inside_articles():
     assert any("of the page" in b for b in html.main_blocks(html.parse(teaser(3)), _template(map(teaser, range(12)))))
 
 
+def test_classes_of_paragraphs_and_teasers():
+    def read(page):
+        root = html.parse(page)
+        return html.main_blocks(root, html.wrapper(html.skeleton(html.parse(page))))
+
+    marked = "<body><article><p>First of all</p><p class='ad-hoc'>An ad-hoc remark</p><p class='share-price'>Five</p><h2 class='search-party'>Found</h2><p class='ad'>Buy</p><div class='ad-slot'>Buy more</div><div class='share-buttons'>Tell</div></article></body>"
+    assert read(marked) == ["First of all", "An ad-hoc remark", "Five", "Found"]
+    teasers = "<body><article><p>" + "The text of the page itself. " * 30 + "</p></article>" + "".join(f"<article><h3><a href='/{i}'>Another page {i}</a></h3></article>" for i in range(3)) + "</body>"
+    assert read(teasers) == [" ".join(["The text of the page itself."] * 30)]
+
+
 def test_layouts_and_classes_that_differ_by_page():
     text = lambda i: f"Text {i} of the page. " * 20
     article, plain = (lambda i: f"<body><article><p>{text(i)}</p></article></body>"), (lambda i: f"<body><div class='post'><p>{text(i)}</p></div></body>")
