@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm import bpe, decontam, minhash, secrets, toxicity
-from rowloom.llm.common import table
+from rowloom.llm.common import cut, table
 from rowloom.llm.queries import bpe_files
 
 
@@ -47,6 +47,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut(docs) if i else docs, sf_dir)  # each stage is computed once, whatever its successors read
     return docs
