@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -153,6 +154,32 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, {kinds}")
 
 
+def character_offsets(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For tokens that end at these bytes: the first code point that each touches, and the last one plus one. Parts of one character share it."""
+    begins = np.r_[0, np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)]
+    firsts = np.r_[0, ends[:-1]] if len(ends) else ends
+    return begins[firsts + 1] - 1 if len(ends) else ends, begins[ends]
+
+
+def token_offsets(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tokens (array of id, first, last in bytes, first_char, last_char in code points; ends exclusive), in order."""
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("id", "first", "last", "first_char", "last_char")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBPE.of(path, pattern)
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for raw in part.column(1).to_pylist():
+                    text = raw.decode("utf-8", errors="replace")
+                    found = bpe.offsets(text)
+                    a, b = character_offsets(text.encode("utf-8"), np.array([x[2] for x in found], np.int64))
+                    out.append([{"id": i, "first": x, "last": y, "first_char": p, "last_char": q} for (i, x, y), p, q in zip(found, a.tolist(), b.tolist())])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["doc_id", "tokens"])
+
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, tokens array<struct<id:long,first:long,last:long,first_char:long,last_char:long>>")
+
+
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) to (doc_id, text); null ids give an empty text."""
 
