@@ -133,6 +133,33 @@ def test_bpe_rows(spark):
     assert bpe.encode(frame(spark, []), path, pattern).count() == 0
 
 
+def test_bpe_query_equals_tiktoken_on_the_test_table(spark):
+    import tiktoken
+
+    path, pattern = queries.bpe_files()
+    known = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = sorted(tuple(r)[:4] for r in queries.op2_byte_bpe(spark, SF).collect())
+    want = []
+    for r in documents():
+        ids = known.encode_ordinary(r["text"] or "")
+        want.append((r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_bpe_offsets(spark):
+    path, pattern = queries.bpe_files()
+    encoded = {r.doc_id: r.ids for r in bpe.encode(awkward(spark).filter("doc_id > 4"), path, pattern).collect()}
+    texts = dict(AWKWARD)
+    for r in bpe.token_offsets(awkward(spark).filter("doc_id > 4"), path, pattern).collect():
+        if r.doc_id == 9:
+            continue
+        raw, text = texts[r.doc_id].encode(), texts[r.doc_id]
+        assert [t.id for t in r.tokens] == encoded[r.doc_id]
+        assert [t.first for t in r.tokens] == [0, *(t.last for t in r.tokens)][:-1] and (r.tokens[-1].last if r.tokens else 0) == len(raw)
+        for t in r.tokens:
+            assert t.first_char == len(raw[: t.first].decode(errors="ignore")) and text[t.first_char : t.last_char].encode().find(raw[t.first : t.last]) >= 0
+
+
 # -- 4: chat
 
 
@@ -324,6 +351,17 @@ def test_main_text(spark):
     out = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(out) == 43 and [r.text for r in out if r.page_id is not None and r.page_id < 40] == ["One text"] * 40
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clashing = spark.createDataFrame([(1, "http://a.b/c", same, "x", 3, "y"), (1, "http://a.b/d", same.replace("One", "Two"), "x", 3, "y"), (None, "http://a.b/d", None, None, None, None)], "page_id long, url string, html string, host string, layout int, text string")
+    assert sorted((r.page_id or 0, r.text) for r in html.main_text(clashing).collect()) == [(0, ""), (1, "One text"), (1, "Two text")]
+
+
+def test_toxicity_on_held_out_rows_of_the_test_table(spark):
+    """The share of pairs of a toxic and a clean held-out document that are in the right order."""
+    folder = SF.replace("0.001", "0.1")
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    out = [r for r in queries.op5_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    bad, good = ([r.score for r in out if labels[r.doc_id] == y] for y in (1, 0))
+    assert len(bad) >= 50 and np.mean([(x > y) + (x == y) / 2 for x in bad for y in good]) > 0.93
 
 
 def test_main_text_of_layouts(spark, monkeypatch):
@@ -413,6 +451,13 @@ def test_pipeline_stages_take_effect(spark):
     assert {r.doc_id: r.text for r in bpe.decode(last, path, pattern).collect()} == {i: r.text for i, r in after.items()}
 
 
+def test_pipeline_runs_on_empty_tables(spark, tmp_path):
+    frame(spark, [], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame(spark, [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_runs_on_awkward_rows(spark, tmp_path):
     rows = [(i, t, "en", None, None) for i, t in AWKWARD]
     frame(spark, rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
