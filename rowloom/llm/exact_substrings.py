@@ -12,9 +12,10 @@ windows of one name form a piece of text. Equal windows have equal names, so:
 4. Marks go back to the documents, where they are joined to spans.
 
 Hot groups: equal texts are one text to begin with; names and pieces that repeat within a batch
-of documents are sent once; a name with more pieces than fit a block is sorted block by block,
-and the windows that are left (one for each different string and block) are compared in one
-more step. So a task holds a block at a time, whatever is common.
+of documents are sent once; a name of more than ``HOT`` documents is dealt by a hash of the piece's text into parts, a
+name with more pieces than fit a block is sorted block by block, and the windows that are left
+(one for each different string and part or block) are compared in one more step. So a task holds
+a block at a time and no name is left to one task, whatever is common.
 
 Defined results: a null text is empty; a row without an id has no earlier document and is none,
 so nothing is removed from it; rows of one id are one document, none earlier than the other, and
@@ -37,7 +38,9 @@ from rowloom.llm.suffix import common_prefixes, sort_suffixes
 SPAN, GRAM = 50, 16
 #: Windows in a piece at most; bytes of text whose names are merged; bytes of pieces sorted at once.
 PIECE, BATCH_BYTES, BLOCK_BYTES = 64, 8 << 20, 2 << 20
-#: Copies that are broadcast, at most (about 50 bytes each).
+#: Documents whose pieces of one name go to one part of that name (64 bytes a piece: two blocks).
+HOT = 2 * BLOCK_BYTES // 64
+#: Copies, and hot names, that are broadcast, at most (about 50 bytes each).
 BROADCAST_LIMIT = 500_000
 _AT = 40  # positions take 40 bits; above them 22 bits of the text's hash tell texts of one id apart
 
@@ -113,7 +116,7 @@ def _merge(fp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def names(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(name, doc, kind): 0 asks whether other documents have the name, 1 knows that they do, 2 only says that the document has it.
+    """(name, doc, kind): 0 asks whether other documents have the name, 1 knows that they do, 2 or more only says that the document, and as many documents in all, have it.
 
     find gives the texts and the names found in some texts. Within a batch of texts a name of
     several documents is sent twice only, for the smallest and the largest of them; all of them
@@ -124,9 +127,10 @@ def names(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np.nd
         fp, doc = _merge(*(np.concatenate(x) for x in zip(*found)))
         first = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.empty(0, np.int64)
         size = np.diff(np.r_[first, len(fp)])
-        kind = np.repeat((size > 1).astype(np.int8), size)
+        kind = np.repeat((size > 1).astype(np.int32), size)
         ends = np.r_[first[size > 1], (first + size - 1)[size > 1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[fp, fp[ends]].view(np.int64)), pa.array(np.r_[doc, doc[ends]]), pa.array(np.r_[kind, np.full(len(ends), 2, np.int8)])], names=["name", "doc", "kind"])
+        says = np.r_[size[size > 1], np.full(len(ends) // 2, 2)].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[fp, fp[ends]].view(np.int64)), pa.array(np.r_[doc, doc[ends]]), pa.array(np.r_[kind, says])], names=["name", "doc", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -142,20 +146,38 @@ def names(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np.nd
         if held:
             yield pack(held)
 
-    return texts.select("doc_id", "text").mapInArrow(run, "name long, doc long, kind byte")
+    return texts.select("doc_id", "text").mapInArrow(run, "name long, doc long, kind int")
 
 
-def shared_names(found: DataFrame) -> DataFrame:
-    """(doc, name) for every name that stands in more than one document."""
+def shared_names(found: DataFrame, hot: int) -> DataFrame:
+    """(doc, name, parts): every name that stands in more than one document; and once without a document, with parts, each name of more than ``hot`` documents."""
+
+    def rows(doc: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), pa.nulls(len(doc), pa.int32())], names=["doc", "name", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of a name that one document has, so far
         shared = None  # the last name, if it is known to be shared
+        large: list[tuple[int, int]] = []
+        last_name, weight = None, 0  # the last name and the documents that have it, so far
+
+        def weigh(fp: np.ndarray, kind: np.ndarray) -> None:
+            nonlocal last_name, weight
+            first = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
+            sums = np.add.reduceat(np.maximum(kind, 1).astype(np.int64), first)
+            if last_name is not None and fp[0] == last_name:
+                sums[0] += weight
+            elif weight > hot:
+                large.append((int(last_name), weight))
+            large.extend((int(fp[first[i]]), int(sums[i])) for i in np.flatnonzero(sums[:-1] > hot))
+            last_name, weight = fp[-1], int(sums[-1])
         for batch in batches:
             fp, doc, kind = (batch.column(i).to_numpy() for i in range(3))
             know = kind == 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[know]), pa.array(fp[know])], names=["doc", "name"])
+            yield rows(doc[know], fp[know])
             fp, doc, kind = fp[~know], doc[~know], kind[~know]
+            if len(fp):
+                weigh(fp, kind)
             if held is not None:
                 fp, doc, kind = np.r_[held[0], fp], np.r_[held[1], doc], np.r_[held[2], kind]
             if not len(fp):
@@ -167,19 +189,32 @@ def shared_names(found: DataFrame) -> DataFrame:
                 several[0] |= fp[0] == shared
             out = np.repeat(several, last - first + 1)
             ask = out & (kind == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[ask]), pa.array(fp[ask])], names=["doc", "name"])
+            yield rows(doc[ask], fp[ask])
             shared = fp[-1] if several[-1] else None
             held = None if several[-1] else (fp[first[-1] : first[-1] + 1], doc[first[-1] : first[-1] + 1], kind[first[-1] :].min(keepdims=True))
+        if weight > hot:
+            large.append((int(last_name), weight))
+        if large:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(large), pa.int64()), pa.array([n for n, _ in large], pa.int64()), pa.array([-(-w // hot) for _, w in large], pa.int32())], names=["doc", "name", "parts"])
 
     dealt = found.repartition(shuffle_partitions(found), F.when(F.col("kind") == 1, F.xxhash64("doc")).otherwise(F.col("name")))
-    return dealt.sortWithinPartitions("name", "doc").mapInArrow(run, "doc long, name long")
+    return dealt.sortWithinPartitions("name", "doc").mapInArrow(run, "doc long, name long, parts int")
 
 
 def shared_lists(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(named, names): for each document its names that other documents have, too. Computed once; the lineage is cut."""
-    out = cut(shared_names(names(texts, find)).groupBy(F.col("doc").alias("named")).agg(F.collect_list("name").alias("names")))
+    return lists_and_hot(texts, find)[0]
+
+
+def lists_and_hot(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same, and (hot, parts): the names of more than ``hot`` documents, marked to be broadcast only if a count shows that they are few."""
+    found = shared_names(names(texts, find), HOT if hot is None else hot)
+    large = F.when(F.col("doc").isNull(), F.col("name"))  # each hot name has a row of its own
+    out = cut(found.groupBy(F.col("doc").alias("named"), large.alias("hot")).agg(F.collect_list("name").alias("names"), F.max("parts").alias("parts")))
     release(texts.sparkSession)
-    return out.hint("shuffle_hash")
+    names_of_many = out.filter("named is null").select("hot", "parts")
+    few = names_of_many.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT
+    return out.filter("named is not null").select("named", "names").hint("shuffle_hash"), F.broadcast(names_of_many) if few else names_of_many
 
 
 def listed(fp: np.ndarray, text: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -248,8 +283,14 @@ def stretches(mask: np.ndarray) -> list[tuple[int, int]]:
 MARKS = "doc long, pos long, n int, win binary"
 
 
+def parted(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pieces with part: of a hot name's pieces a hash of their text, so that equal ones stay together; null for the others."""
+    joined = found.join(hot, found["name"] == hot["hot"], "left")
+    return joined.withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int")).select(*found.columns, "part")
+
+
 def sorted_pieces(found: DataFrame, span: int) -> DataFrame:
-    """(doc, pos, n, win): windows to remove, and (win not null) windows of names too large for one block, to be compared once more."""
+    """(doc, pos, n, win): windows to remove, and (win not null) windows of names in several parts or blocks, to be compared once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
@@ -286,17 +327,17 @@ def sorted_pieces(found: DataFrame, span: int) -> DataFrame:
         alone: set[bytes] = set()
         size, name, mine, parted = 0, None, [], False
         for batch in batches:
-            for fp, doc, pos, n, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for fp, doc, pos, n, text, part in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if text is None:
                     put(doc, pos, n)
                     continue
-                if fp != name:
+                if (fp, part) != name:
                     if len(mine) == 1:
                         alone.add(mine[0])
-                    if parted or size >= BLOCK_BYTES:
+                    if parted or part is not None or size >= BLOCK_BYTES:
                         settle(held, alone, parted)
-                        held, alone, size, parted = {}, set(), 0, False
-                    name, mine = fp, []
+                        held, alone, size = {}, set(), 0
+                    name, mine, parted = (fp, part), [], part is not None
                 elif size >= 4 * BLOCK_BYTES:  # the name goes on: its own block, with what is left of it compared later
                     settle(held, alone, True)
                     held, alone, size, parted, mine = {}, set(), 0, True, []
@@ -315,8 +356,8 @@ def sorted_pieces(found: DataFrame, span: int) -> DataFrame:
         settle(held, alone, parted)
         yield flush()
 
-    dealt = found.repartition(shuffle_partitions(found), F.when(F.col("text").isNull(), F.xxhash64("doc", "pos")).otherwise(F.col("name")))
-    return dealt.sortWithinPartitions("name", "doc").mapInArrow(run, MARKS)
+    dealt = found.repartition(shuffle_partitions(found), F.when(F.col("text").isNull(), F.xxhash64("doc", "pos")).otherwise(F.when(F.col("part").isNull(), F.col("name")).otherwise(F.xxhash64("name", "part"))))
+    return dealt.sortWithinPartitions("name", "part", "doc").mapInArrow(run, MARKS)
 
 
 def compare_left_over(marks: DataFrame) -> DataFrame:
@@ -346,10 +387,10 @@ def removed_spans(documents: DataFrame, span: int = SPAN, k: int = GRAM, id_col:
         text, _, _, fp = runs(data, offsets, span, k)
         return text, fp
 
-    lists = shared_lists(own, find)
+    lists, hot = lists_and_hot(own, find)
     dealt = dealt_texts(texts)
     shared = dealt.join(lists, dealt["doc_id"] == lists["named"]).select("doc_id", "tag", "text", "names")
-    marks = compare_left_over(sorted_pieces(pieces(shared, span, k), span))
+    marks = compare_left_over(sorted_pieces(parted(pieces(shared, span, k), hot), span))
     spans = cut(marks.groupBy(F.col("doc").alias("marked")).agg(F.collect_list(F.struct("pos", "n")).alias("marks")))
     del shared, marks
     release(documents.sparkSession)

@@ -91,6 +91,21 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+ORACLE_SQL["op3_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, unnest(generate_series(0, length(h) // 2 - 50)) AS p, h FROM d WHERE length(h) >= 100),
+g AS MATERIALIZED (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w),
+m AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+hit AS (SELECT g.r, g.p FROM g JOIN m USING (s) WHERE g.doc_id > m.first),
+run AS (SELECT r, p, coalesce(p > lag(p) OVER o + 50, true)::INT AS new FROM hit WINDOW o AS (PARTITION BY r ORDER BY p)),
+span AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM run) GROUP BY r, k),
+ends AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS prev FROM span),
+cutd AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM ends JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cutd USING (r)
+"""
+
 _CONTROL = ["<|turn|>", "<|body|>", "<|end|>", "<|image|>", "<|audio|>", "<|document|>", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 _ESCAPED = " + ".join(f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in ["\\", *_CONTROL])
 _ESCAPED_ROLE = _ESCAPED.replace("(t", "(r").replace("t, ", "r, ")

@@ -72,8 +72,9 @@ def test_exact_substrings_on_awkward_rows(spark, monkeypatch):
     assert exact_substrings.dedup(frame(spark, [])).count() == 0
 
 
-def test_exact_substrings_of_a_hot_name(spark, monkeypatch):
-    """One line between different texts in all documents, and blocks so small that its name needs many of them."""
+@pytest.mark.parametrize("hot", [1_000_000, 20])
+def test_exact_substrings_of_a_hot_name(spark, monkeypatch, hot):
+    """One line between different texts in all documents, and blocks so small that its name needs many of them, or so few documents to a part that it needs many parts."""
     rng = random.Random(1)
     noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
     line = "the very common line of some forty bytes!"
@@ -82,8 +83,13 @@ def test_exact_substrings_of_a_hot_name(spark, monkeypatch):
     source = {"BLOCK_BYTES": 300}
     monkeypatch.setattr(exact_substrings, "sorted_pieces", lambda found, span: saved(found, span))
     monkeypatch.setattr(exact_substrings, "BLOCK_BYTES", source["BLOCK_BYTES"])
+    monkeypatch.setattr(exact_substrings, "HOT", hot)
+    parts = []
+    parted = exact_substrings.parted
+    monkeypatch.setattr(exact_substrings, "parted", lambda found, large: parts.extend(r.parts for r in large.collect()) or parted(found, large))
     got = exact_substrings.dedup(frame(spark, rows), digests=True).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_removed(rows)
+    assert (max(parts) >= 5) if hot == 20 else not parts
 
 
 def test_fuzzy_passages_find_every_long_exact_one(spark):
