@@ -54,6 +54,7 @@ def getinfo(v: View, w: View | None = None) -> View:
     """For each row its position, its group (by first occurrence, from 0) and its place within the group.
 
     Groups are those of equal rows of v; with w, of w's rows by equal rows of v, and rows without one are left out.
+    Places are numbers in the order of groups less that of the group's first row, so that a large group is not one task's.
     """
     a = v.numbered()
     cells = [F.col(f"c{i}") for i in range(a.width)]
@@ -61,8 +62,10 @@ def getinfo(v: View, w: View | None = None) -> View:
     rows = a if w is None else w.numbered()
     right, columns, _ = firsts.as_right()
     joined = rows.df.join(right, equal((F.col(f"c{i}"), c) for i, (_, c) in enumerate(columns)))
-    place = F.row_number().over(Window.partitionBy("r_o0").orderBy("_o0")) - 1
-    return View.build(joined.withColumn("_place", place), [("position", F.col("_o0")), ("group", F.col("r_o0")), ("place", F.col("_place"))], [(F.col("_o0"), True)])
+    ranked = View.build(joined, [("position", F.col("_o0")), ("group", F.col("r_o0"))], [(F.col("r_o0"), True), (F.col("_o0"), True)]).numbered()
+    starts = ranked.df.groupBy(F.col("c1").alias("_group")).agg(F.min("_o0").alias("_start"))
+    placed = ranked.df.join(starts, F.col("c1") == F.col("_group"))
+    return View.build(placed, [("position", F.col("c0")), ("group", F.col("c1")), ("place", F.col("_o0") - F.col("_start"))], [(F.col("c0"), True)])
 
 
 def strlookup(spark: SparkSession, key: str, items: list[str]) -> int:
