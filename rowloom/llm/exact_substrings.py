@@ -42,12 +42,12 @@ PIECE, BATCH_BYTES, BLOCK_BYTES = 64, 8 << 20, 2 << 20
 HOT = 2 * BLOCK_BYTES // 64
 #: Copies, and hot names, that are broadcast, at most (about 50 bytes each).
 BROADCAST_LIMIT = 500_000
-_AT = 40  # positions take 40 bits; above them 22 bits of the text's hash tell texts of one id apart
+_AT = 31  # positions take 31 bits, all that a Spark value can hold; above them 32 bits of the text's hash tell texts of one id apart
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tag (bits of the text's hash, at their place in a position), text."""
-    tag = F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 22) - 1).cast("long")), _AT)
+    tag = F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 63 - _AT) - 1).cast("long")), _AT)
     return texts_of(docs, id_col, text_col).select("doc_id", tag.alias("tag"), "text")
 
 

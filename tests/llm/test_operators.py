@@ -79,6 +79,7 @@ def test_exact_substrings_of_a_hot_name(spark, monkeypatch, hot):
     noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
     line = "the very common line of some forty bytes!"
     rows = [(i, noise(30) + line + noise(3 if i % 2 else 30) + line) for i in range(150)] + [(200 + i, noise(20) + line + "same tail in some documents") for i in range(50)]
+    rows += [(300, noise(60) + (line if i % 2 else noise(20)) + noise(i)) for i in range(40)]  # many texts under one id
     saved = exact_substrings.sorted_pieces
     source = {"BLOCK_BYTES": 300}
     monkeypatch.setattr(exact_substrings, "sorted_pieces", lambda found, span: saved(found, span))
