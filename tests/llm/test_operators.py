@@ -228,6 +228,22 @@ def test_toxicity_learns_and_leaves_held_out_rows(spark):
     assert toxicity.classify(often, known).filter("doc_id = 7").agg(F.countDistinct("score")).first()[0] == 1
 
 
+@pytest.mark.parametrize("part_rows", [100_000, 2500])
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch, part_rows):
+    """A word of toxic rows that 3000 others precede by hash, and one of rows of 5000 words; in one part and in several."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", part_rows)
+    rng = random.Random(6)
+    plain = lambda n=8: [rng.choice(["tree", "house", "river", "walk", "quiet", "blue", "song", "table"]) for _ in range(n)]
+    by_hash = [r.id for r in spark.range(9000).filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("id")).collect()]
+    toxic = {i: "vilescum" if at < 3200 else "hatefool" for at, i in enumerate(by_hash[:4600])}
+    rows = [(i, " ".join([*plain(), *([toxic[i]] if i in toxic else [])])) for i in range(9000)]
+    rows += [(10_000 + i, " ".join([*plain(5000), *(["wretchpig"] if i % 2 else [])])) for i in range(120)]
+    labels = [(i, int(i in toxic)) for i in by_hash] + [(10_000 + i, i % 2) for i in range(120)]
+    asked = [(20_000 + i, " ".join([*plain(), *word])) for i, word in enumerate([[], ["vilescum"], ["hatefool"], ["wretchpig"]] * 5)]
+    out = {r.doc_id: r.predicted for r in toxicity.classify(frame(spark, [*rows, *asked]), frame(spark, labels, "doc_id long, toxic int")).collect()}
+    assert [out[i] for i, _ in asked] == [0, 1, 1, 1] * 5
+
+
 # -- 6: neighbours
 
 
