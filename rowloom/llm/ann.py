@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rowloom.llm.common import cut, shuffle_partitions
 
 LINKS, BUILD_BEAM, BEAM = 24, 96, 128
+#: A step of a search goes on from a share of its beam, 1 in so many nodes (4 nodes at least): each step sorts the whole beam, so its steps must not grow with it.
+EXPANDED = 20
 #: Shards at least, and vectors in a shard at most (on average); queries in one block; blocks that one copy of a shard's index serves.
 SHARDS, SHARD_ROWS, BLOCK, SERVED = 8, 4_000, 1000, 64
 
@@ -104,7 +106,7 @@ class Graph:
         start = np.full(len(queries), self.entry)
         for level in range(len(self.levels) - 1, to, -1):
             start = self.walk(level, queries, start, 4)[0][:, 0]
-        return self.walk(to, queries, start, beam)
+        return self.walk(to, queries, start, beam, max(4, beam // EXPANDED))
 
     def chosen(self, nodes: np.ndarray, near: np.ndarray, count: int) -> np.ndarray:
         """Of candidates sorted by nearness, those that are nearer to the node than to any chosen before; then the nearest of the rest."""

@@ -278,6 +278,21 @@ def test_graph_finds_neighbours(kind):
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(top.tolist(), exact.tolist())]) >= 0.9
 
 
+def test_steps_of_a_search_do_not_grow_with_its_beam(monkeypatch):
+    vectors = np.random.default_rng(9).normal(size=(1500, 16))
+    graph = ann.Graph.build(vectors)
+    steps = []
+    partition = np.argpartition
+    monkeypatch.setattr(ann.np, "argpartition", lambda *args, **options: steps.append(1) or partition(*args, **options))
+    queries = np.column_stack([vectors[:20], np.zeros(20)]).astype(np.float32)
+    counts = []
+    for beam in (160, 480):
+        steps.clear()
+        graph.search(queries, beam)
+        counts.append(len(steps))
+    assert counts[1] < 1.5 * counts[0]
+
+
 def test_links_inside_a_block_against_every_pair():
     rng = np.random.default_rng(4)
     for trial in range(40):
